@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, knn_quality, langid, line_rules, pieces, secret_scan
+from . import attribution, decontaminate, jaccard_join, knn_quality, langid, line_rules, pieces, secret_scan
 from .common import fold, table
 
 
@@ -26,6 +26,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     for f in (
         op1_token_attribution,
         op3_sentencepiece,
+        op5_jaccard_join,
         op6_decontamination,
         op7_secret_scan,
         op8_language_id,
