@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, decontaminate, jaccard_join, knn_quality, langid, line_rules, pieces, secret_scan
-from .common import fold, table
+from . import attribution, decontaminate, hmm, jaccard_join, knn_quality, langid, line_rules, pieces, secret_scan, warc
+from .common import Stage, fold, table
 
 
 def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Stage(spark, "warc").path
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -26,6 +32,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, fold("doc_id", 7) == 2)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -70,7 +80,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_attribution,
+        op2_warc_archive,
         op3_sentencepiece,
+        op4_hidden_markov,
         op5_jaccard_join,
         op6_decontamination,
         op7_secret_scan,
