@@ -168,7 +168,7 @@ def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
 
 def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """docs: doc_id, text. A row for each document: doc_id, class_id (least id of the equal texts), n_copies (their
-    number), n_links (other texts that are similar), group_id (least id that links and copies lead to)."""
+    number), n_links (other texts that are similar), group_id (least id that links and copies lead to), key (SHA-256)."""
     c, spark = config, docs.sparkSession
     stage = Stage(spark, "jaccard")
     if c.bands * c.rows % c.step:
@@ -255,4 +255,16 @@ def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
+        "key",
     )
+
+
+def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """docs, all columns: of each group the document with the least id. Null texts all stay."""
+    key, names = "__key", docs.columns
+    chosen = join(docs, config).filter(F.col("doc_id").eqNullSafe(F.col("group_id")) & F.col("key").isNotNull())
+    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__chosen")).distinct()
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    same = (F.col(key) == F.col("__chosen")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = keyed.filter(F.col(key).isNotNull()).join(chosen, same, "left_semi").dropDuplicates(["doc_id", key])
+    return kept.select(*names).unionByName(docs.filter(F.col("text").isNull()))

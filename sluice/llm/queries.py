@@ -37,7 +37,7 @@ def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
