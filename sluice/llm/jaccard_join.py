@@ -119,16 +119,16 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return total[left, right].astype(np.int64)
 
 
-def links(nodes: np.ndarray, side: np.ndarray, texts: list[bytes], c: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Of a group of texts: each one's number of links and the least node that links lead to. side: the block; in a
-    group of two blocks only pairs across count."""
+def links(nodes: np.ndarray, side: np.ndarray | None, texts: list[bytes], c: Config) -> tuple[np.ndarray, np.ndarray]:
+    """Of a group of texts: each one's number of links and the least node that links lead to. side: in a group of two
+    blocks, whether a text is of the first; only pairs across count then."""
     sets = [np.unique(windows(words(t)[0], c.width)) for t in texts]
     a, b = family(c)
     sig = np.stack([minhash(s, a, b) for s in sets])
-    if side[0] == side[-1]:
+    if side is None:
         left, right = np.triu_indices(len(sets), 1)
     else:
-        one, two = np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
+        one, two = np.flatnonzero(side), np.flatnonzero(~side)
         left, right = np.repeat(one, len(two)), np.tile(two, len(one))
     left, right = candidates(sig, left, right, c)
     size = np.array([len(s) for s in sets])
@@ -221,7 +221,8 @@ def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
             nodes = np.array([r[0] for r in group], np.int64)
-            n, least = links(nodes, np.array([r[1] for r in group]), [r[2] for r in group], c)
+            side = None if key[1] == key[2] else np.array([r[1] == key[1] for r in group])
+            n, least = links(nodes, side, [r[2] for r in group], c)
             some = n > 0
             return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (nodes, n, least)], ["node", "n_links", "least"])
 
