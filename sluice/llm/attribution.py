@@ -139,7 +139,13 @@ def attribute(docs: DataFrame, ranks_path: str, pattern: str, sections: Sections
                 ids += [doc] * len(ss)
             columns = [np.concatenate(x) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.concatenate(number)), *(pa.array(c) for c in columns)], OUT.names
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(np.concatenate(number)),
+                    *(pa.array(c, pa.int64()) for c in columns[:-1]),
+                    pa.array(columns[-1], pa.float64()),
+                ],
+                OUT.names,
             )
 
     columns = ["doc_id", "text", *([docs[sections].alias("sections")] if given else [])]
