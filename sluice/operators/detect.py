@@ -10,7 +10,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.catalogue import ENTITY_LABELS, PATTERNS, PRIVACY_MODEL_LABELS, Pattern
@@ -53,6 +53,14 @@ def matches(text: Column, pattern: Pattern, ordinal: int = 0) -> Column:
     return F.when(could & F.regexp_like(text, regex), found).otherwise(empty())
 
 
+def settle(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with the columns added behind a one-element generator. The optimiser neither copies an expression through it
+    into later ones nor pushes predicates on its result below, so long expressions are planned and computed once."""
+    names = [n for n in rows.columns if n not in columns]
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__settled")
+    return rows.select("*", one).select(*names, *[F.col(f"__settled.{n}").alias(n) for n in columns])
+
+
 def overlap_free(found: Column) -> Column:
     """Of one category's detections, those that start where the last kept one has ended or later, by start, then the
     longer, then the more confident."""

@@ -186,7 +186,7 @@ def detection_counts(spark, sf_dir):
 def decided(spark, sf_dir, policy, patterns=None):
     docs = injected(spark, sf_dir)
     found = detect.detect(F.col("text"), policy.patterns() if patterns is None else patterns)
-    return docs.withColumn("detections", found)
+    return detect.settle(docs, detections=found)
 
 
 _POLICIES = (P.REGEX_ONLY, P.FLOORS, P.AUDIT_ALL)
@@ -363,10 +363,9 @@ def encoded_candidates(spark, sf_dir):
 
 def normalised_rows(rows: DataFrame, text: str, patterns=PATTERNS) -> DataFrame:
     """rows with norm (null if unchanged) and detections, found in the normalised text, with offsets of the original."""
-    rows = rows.withColumn("norm", normalize.normalized(F.col(text)))
-    seen = F.coalesce(F.col("norm.normalized"), F.col(text))
-    rows = rows.withColumn("__seen", seen).withColumn("__found", detect.detect(F.col("__seen"), patterns))
-    return rows.withColumn("detections", normalize.remap(F.col("__found"), F.col("norm"), F.col(text))).drop("__seen", "__found")
+    rows = detect.settle(rows.withColumn("norm", normalize.normalized(F.col(text))), __seen=F.coalesce(F.col("norm.normalized"), F.col(text)))
+    rows = detect.settle(rows, __found=detect.detect(F.col("__seen"), patterns))
+    return detect.settle(rows, detections=normalize.remap(F.col("__found"), F.col("norm"), F.col(text))).drop("__seen", "__found")
 
 
 @query()
@@ -432,6 +431,6 @@ def token_shapes(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection, decision and rewriting of the documents under the shipped default policy."""
     docs = read(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "text", detect.detect(F.col("text"), P.DEFAULT.patterns()).alias("detections"))
+    docs = detect.settle(docs.select("doc_id", "text"), detections=detect.detect(F.col("text"), P.DEFAULT.patterns()))
     docs = rewrite.apply(tokens.with_key(docs, spark, KEY), P.DEFAULT, token=lambda c, t: tokens.token(c, t, F.col("doc_id")))
     return docs.select("doc_id", "blocked", F.size("detections").alias("n_detections"), "rewritten_text")
