@@ -31,6 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,9 @@ class Config:
     classes: int = 1024
     rounds: int = 4
     smooth: float = 0.1
-    cells: int = 400_000
-    block: int = 1024
+    cells: int = 300_000
+    block: int = 512
+    together: int = 6_000_000
     flush: int = 300_000
     seed: int = 4
 
@@ -70,13 +72,14 @@ def class_of(word: bytes, classes: int) -> int:
     return zlib.crc32(word[-3:]) % classes
 
 
-def padded(seqs: list[np.ndarray], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sequences of near-equal length together: their indices, lengths (descending), symbols (time x sequence)."""
+def padded(seqs: list[np.ndarray], c: Config) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences of near-equal length together: their indices, lengths (descending), symbols (time x sequence). A block
+    of times of one group has at most `cells` symbols."""
     order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
     at = 0
     while at < len(order):
         longest = len(seqs[order[at]])
-        some = order[at : at + max(1, cells // longest)]
+        some = order[at : at + max(1, c.cells // min(longest, c.block))]
         n = np.array([len(seqs[i]) for i in some])
         out = np.zeros((longest, len(some)), np.int32)
         for k, i in enumerate(some):
@@ -85,67 +88,90 @@ def padded(seqs: list[np.ndarray], cells: int) -> Iterator[tuple[np.ndarray, np.
         at += len(some)
 
 
-def forward(m: Model, obs: np.ndarray, n: np.ndarray, start: np.ndarray | None, t0: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward variables of a block of times (time x sequence x state) and scales; beyond a sequence's end its
-    last variables stay and its scales are 1. start: the variables before the block, None at the first time."""
-    alpha, scale = np.empty((*obs.shape, len(m.first))), np.ones(obs.shape)
-    for t in range(len(obs)):
-        live = int(np.searchsorted(-n, -(t0 + t), side="left"))  # lengths descend: these reach time t0 + t
-        prior = m.first if start is None else start[:live] @ m.move
-        a = prior * m.emit[obs[t, :live]]
-        s = a.sum(axis=1)
-        if start is not None:
-            alpha[t] = start
-        alpha[t, :live] = a / s[:, None]
-        scale[t, :live] = s
-        start = alpha[t]
+def lengths_left(n: np.ndarray, t0: int, times: int) -> np.ndarray:
+    """How many sequences reach each of the times from t0; lengths descend, so these are the first ones."""
+    return np.searchsorted(-n, -(t0 + np.arange(times)), side="left")
+
+
+def gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches and the sequences of their column seq, together up to `most` symbols: long sequences then share their
+    steps."""
+    some, seqs, size = [], [], 0
+    for b in batches:
+        column = b.column("seq")
+        at, symbols = column.offsets.to_numpy(), column.values.to_numpy()
+        some.append(b)
+        seqs += [symbols[x:y] for x, y in zip(at, at[1:], strict=False)]
+        size += int(at[-1] - at[0])
+        if size >= most:
+            yield some, seqs
+            some, seqs, size = [], [], 0
+    if some:
+        yield some, seqs
+
+
+def forward(m: Model, emit: np.ndarray, live: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward variables (state x time x sequence) and scales of a block of times. emit: the symbols' emissions,
+    shaped alike; start: the variables before the block, None at the first time. Beyond a sequence's end variables are 0
+    and scales 1."""
+    alpha, scale, move = np.zeros(emit.shape), np.ones(emit.shape[1:]), np.ascontiguousarray(m.move.T)
+    for t, k in enumerate(live.tolist()):
+        a = alpha[:, t, :k]
+        np.multiply(m.first[:, None] if start is None else move @ start[:, :k], emit[:, t, :k], out=a)
+        s = a.sum(axis=0)
+        a /= s
+        scale[t, :k] = s
+        start = alpha[:, t]
     return alpha, scale
 
 
 def likelihood(m: Model, seqs: list[np.ndarray], c: Config) -> np.ndarray:
     """log10 P of each sequence of symbols."""
-    out = np.zeros(len(seqs))
-    for some, n, obs in padded(seqs, c.cells):
+    out, emit = np.zeros(len(seqs)), np.ascontiguousarray(m.emit.T)
+    for some, n, obs in padded(seqs, c):
         start = None
         for t in range(0, len(obs), c.block):
-            alpha, scale = forward(m, obs[t : t + c.block], n, start, t)
-            start = alpha[-1]
+            part = obs[t : t + c.block]
+            alpha, scale = forward(m, emit[:, part], lengths_left(n, t, len(part)), start)
+            start = alpha[:, -1]
             out[some] += np.log10(scale).sum(axis=0)
     return out
 
 
 def expect(m: Model, seqs: list[np.ndarray], c: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected counts of first states, moves and emissions, and the log10 likelihood."""
-    k = len(m.first)
-    first, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit), 0.0
-    for _, n, obs in padded(seqs, c.cells):
-        starts, start = [], None
-        cuts = range(0, len(obs), c.block)
-        for t in cuts:
+    k, emits = len(m.first), np.ascontiguousarray(m.emit.T)
+    first, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(emits), 0.0
+    for _, n, obs in padded(seqs, c):
+        starts, start, cuts = [], None, range(0, len(obs), c.block)
+        for t0 in cuts:
             starts.append(start)
-            if len(cuts) > 1:
-                start = forward(m, obs[t : t + c.block], n, start, t)[0][-1].copy()
-        beta = np.ones((len(n), k))
+            if t0 + c.block < len(obs):
+                part = obs[t0 : t0 + c.block]
+                start = forward(m, emits[:, part], lengths_left(n, t0, len(part)), start)[0][:, -1].copy()
+        beta = np.ones((k, len(n)))
         for t0, start in zip(reversed(cuts), reversed(starts), strict=True):
             part = obs[t0 : t0 + c.block]
-            alpha, scale = forward(m, part, n, start, t0)
+            live, given = lengths_left(n, t0, len(part)), emits[:, part]
+            alpha, scale = forward(m, given, live, start)
             total += np.log10(scale).sum()
-            gamma = np.zeros_like(alpha)
+            given /= scale
+            after = np.zeros(given.shape)  # emission times backward variable, by scale
             for t in range(len(part) - 1, -1, -1):
-                live = int(np.searchsorted(-n, -(t0 + t), side="left"))
-                g = alpha[t, :live] * beta[:live]
-                gamma[t, :live] = g / g.sum(axis=1, keepdims=True)
-                b = m.emit[part[t, :live]] * beta[:live] / scale[t, :live, None]
-                before = alpha[t - 1, :live] if t else start[:live] if start is not None else None
-                if before is None:
-                    first += gamma[t, :live].sum(axis=0)
-                else:
-                    move += before.T @ b * m.move
-                    beta[:live] = b @ m.move.T
+                x, b = after[:, t, : live[t]], beta[:, : live[t]]
+                np.multiply(given[:, t, : live[t]], b, out=x)
+                given[:, t, : live[t]] = b  # from here on the backward variable
+                b[:] = m.move @ x
+            gamma = alpha * given if live[-1] == len(n) else np.where(np.arange(len(n)) < live[:, None], alpha * given, 0)
+            move += m.move * (alpha[:, :-1].reshape(k, -1) @ after[:, 1:].reshape(k, -1).T)
+            if start is None:
+                first += gamma[:, 0].sum(axis=1)
+            else:
+                move += m.move * (start[:, : live[0]] @ after[:, 0, : live[0]].T)
             flat = part.ravel()
             for s in range(k):
-                emit[:, s] += np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=len(emit))
-    return first, move, emit, total
+                emit[s] += np.bincount(flat, weights=gamma[s].ravel(), minlength=emit.shape[1])
+    return first, move, emit.T, total
 
 
 def initial(shares: np.ndarray, c: Config) -> Model:
@@ -196,7 +222,10 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
             break
     top = words.filter(F.col("level") >= level).select("word", "c").toArrow()  # at most `common` rows
     top = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1].encode()))
-    index = spark.sparkContext.broadcast({w.encode(): (k, n) for k, (n, w) in enumerate(top)})
+    index = spark.sparkContext.broadcast({w.encode(): k for k, (_, w) in enumerate(top)})
+    symbol = np.array([k if k < c.head else c.head + class_of(w.encode(), c.classes) for k, (_, w) in enumerate(top)] + [0], np.int32)
+    gain = np.log10(np.array([n for n, _ in top] + [0], float) + 1)
+    by_rank = spark.sparkContext.broadcast((symbol, gain))  # the last place is for uncommon words
     tail = words.filter(F.col("level") < level).select("word", "c")
     suffix = F.col("word").cast("binary")
     bucket = (F.crc32(F.when(F.length(suffix) > 3, F.substring(suffix, -3, 3)).otherwise(suffix)) % c.classes).cast("int")
@@ -215,22 +244,21 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Symbols; what needs no tail counts; the tail's words with their numbers."""
-        common = index.value
+        get, (symbol, gain) = index.value.get, by_rank.value
         for b in split_batches(batches):
             seqs, rows = [], []
             for t in doc_bytes(b.column("text")):
                 found = words_of(t)
-                hits = list(map(common.get, found))
-                seq = np.array([h[0] if h else c.head for h in hits] + [end], np.int32)
-                rest = Counter(w for w, h in zip(found, hits, strict=True) if h is None)
-                for k in np.flatnonzero(seq[:-1] >= c.head):
-                    seq[k] = c.head + class_of(found[k], c.classes)
+                ranks = np.fromiter(map(get, found, repeat(-1)), np.int32, len(found))
+                rare = np.flatnonzero(ranks < 0).tolist()
+                seq = np.append(symbol[ranks], np.int32(end))
+                if rare:
+                    seq[rare] = [c.head + class_of(found[k], c.classes) for k in rare]
+                rest, gains = Counter([found[k] for k in rare]), gain[ranks]
                 by_class = seq[(seq >= c.head) & (seq < end)] - c.head
-                gains = np.log10(np.array([h[1] + 1 for h in hits if h], float))
-                ranks = np.array([h[0] for h in hits if h])
                 seqs.append(seq)
                 rows.append((
-                    len(seq), len(gains) + (ends > 0),
+                    len(seq), len(found) - len(rare) + (ends > 0),
                     float(gains.sum() + np.log10(ends + 1) - base_unit * len(seq)),
                     float(gains[ranks >= c.head].sum() - inside[by_class].sum()), list(rest), list(rest.values()),
                 ))
@@ -250,12 +278,13 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
     best = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in split_batches(batches, 2048):
-            seqs = [x.values.to_numpy() for x in b.column("seq")]
-            p = likelihood(best.value, seqs, c)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in names), pa.array(p + b.column("within").to_numpy())], [*names, "score"]
-            )
+        for some, seqs in gather(batches, c.together):
+            p, at = likelihood(best.value, seqs, c), 0
+            for b in some:
+                own, at = p[at : at + b.num_rows], at + b.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(n) for n in names), pa.array(own + b.column("within").to_numpy())], [*names, "score"]
+                )
 
     names = ["doc_id", "held_out", "row", "n_tokens", "n_head", "base"]
     judged = coded.select(*names, "within", "seq").mapInArrow(
@@ -283,8 +312,8 @@ def _round(seqs: DataFrame, model: Model, shares: np.ndarray, c: Config) -> Mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, move, emit, any_ = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.value.emit), False
-        for b in split_batches(batches, 2048):
-            f, a, e, _ = expect(m.value, [x.values.to_numpy() for x in b.column("seq")], c)
+        for _, seqs in gather(batches, c.together):
+            f, a, e, _ = expect(m.value, seqs, c)
             first, move, emit, any_ = first + f, move + a, emit + e, True
         if any_:
             used = np.flatnonzero(emit.any(axis=1))
