@@ -145,6 +145,12 @@ def links(nodes: np.ndarray, side: np.ndarray | None, texts: list[bytes], c: Con
             return n, least
 
 
+def _dealt_anew(centres: DataFrame) -> DataFrame:
+    """u, m as they are, but planned without the partitioning of the aggregate below: the join then has an exchange on
+    either side, and Spark can split the partition of a large star among tasks."""
+    return centres.select(F.bitwise_not(F.bitwise_not("u")).alias("u"), "m")
+
+
 def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
     """node, root (the component's least node) of every node of the edges a, b, by alternating large and small stars.
     Each round is a written table; a star's centre is joined, not grouped, so that no task must hold its members."""
@@ -157,18 +163,19 @@ def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
         last, round_ = state, round_ + 1
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.filter("v > u").join(_dealt_anew(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(_dealt_anew(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stage.write(small.union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), f"{name}{round_}")
         stage.drop(f"{name}{round_ - 1}")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
-def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """docs: doc_id, text. A row for each document: doc_id, class_id (least id of the equal texts), n_copies (their
-    number), n_links (other texts that are similar), group_id (least id that links and copies lead to), key (SHA-256)."""
+def classes(docs: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. First doc_id and key (SHA-256, null for a null text) of every document; then a row for each key:
+    class_id (least id of the equal texts), n_copies (their number), n_links (other texts that are similar), group_id
+    (least id that links and copies lead to)."""
     c, spark = config, docs.sparkSession
     stage = Stage(spark, "jaccard")
     if c.bands * c.rows % c.step:
@@ -248,23 +255,29 @@ def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
         nodes.select("node", "key", "class_id", "n_copies")
         .join(found.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node", "left")
         .join(groups.join(first, "root").select("node", "group_id"), "node", "left")
-        .select("key", "class_id", "n_copies", "n_links", F.coalesce("group_id", "class_id").alias("group_id"))
+        .select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
     )
-    return sketches.select("doc_id", "key").join(info, "key", "left").select(
+    return sketches.select("doc_id", "key"), info
+
+
+def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
+    """docs: doc_id, text. A row for each document: doc_id, class_id, n_copies, n_links, group_id as in `classes`."""
+    ids, info = classes(docs, config)
+    own = F.col("key").isNull()
+    return ids.join(info, "key", "left").select(
         "doc_id",
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
-        "key",
+        F.when(own, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
     )
 
 
 def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """docs, all columns: of each group the document with the least id. Null texts all stay."""
     key, names = "__key", docs.columns
-    chosen = join(docs, config).filter(F.col("doc_id").eqNullSafe(F.col("group_id")) & F.col("key").isNotNull())
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("key").alias("__chosen")).distinct()
+    chosen = classes(docs, config)[1].filter(F.col("class_id").eqNullSafe(F.col("group_id")))
+    chosen = chosen.select(F.col("class_id").alias("__id"), F.col("key").alias("__chosen"))
     keyed = docs.withColumn(key, F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     same = (F.col(key) == F.col("__chosen")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     kept = keyed.filter(F.col(key).isNotNull()).join(chosen, same, "left_semi").dropDuplicates(["doc_id", key])
