@@ -183,10 +183,34 @@ def detection_counts(spark, sf_dir):
     return found.groupBy("lang", "category").agg(F.count("*").alias("n_detections"), F.countDistinct("doc_id").alias("n_documents"))
 
 
-def decided(spark, sf_dir, policy, patterns=None):
-    docs = injected(spark, sf_dir)
-    found = detect.detect(F.col("text"), policy.patterns() if patterns is None else patterns)
-    return detect.settle(docs, detections=found)
+def normalised_rows(rows: DataFrame, text: str, patterns=PATTERNS, find=None) -> DataFrame:
+    """rows with norm (null if unchanged) and detections, found in the normalised text, with offsets of the original. find:
+    detections of a text column, those of the patterns if not given."""
+    rows = detect.settle(rows.withColumn("norm", normalize.normalized(F.col(text))), __seen=F.coalesce(F.col("norm.normalized"), F.col(text)))
+    rows = detect.settle(rows, __found=detect.detect(F.col("__seen"), patterns) if find is None else find(F.col("__seen")))
+    return detect.settle(rows, detections=normalize.remap(F.col("__found"), F.col("norm"), F.col(text))).drop("__seen", "__found")
+
+
+def detected(rows: DataFrame, text: str, policy: P.Policy, models=None) -> DataFrame:
+    """rows with the detections of the detectors that the policy turns on, in the normalised text if it turns that on. A
+    model that is on must be given by name, and a detector must be on; else this fails before anything is read."""
+    models, on = models or {}, [n for n in ("opf", "presidio") if policy.detectors[n]]
+    if missing := [n for n in on if n not in models]:
+        raise RuntimeError(f"policy {policy.name} turns on {', '.join(missing)}, but no such model is given")
+    detectors = [detect.RegexDetector(policy.patterns())] if policy.detectors["regex"] else []
+    detectors += [models[n] for n in on]
+    for d in detectors:
+        d.validate()
+    if not detectors:
+        raise ValueError(f"policy {policy.name} turns on no detector")
+    find = lambda x: detect.detect(x, policy.patterns()) if not on else detect.detect_all(x, detectors, "closed")["detections"]
+    if policy.detectors["normalization"]:
+        return normalised_rows(rows, text, find=find).drop("norm")
+    return detect.settle(rows, detections=find(F.col(text)))
+
+
+def decided(spark, sf_dir, policy):
+    return detected(injected(spark, sf_dir), "text", policy)
 
 
 _POLICIES = (P.REGEX_ONLY, P.FLOORS, P.AUDIT_ALL)
@@ -194,11 +218,13 @@ _POLICIES = (P.REGEX_ONLY, P.FLOORS, P.AUDIT_ALL)
 
 @query(" UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS policy, category, detector, start, action, audit FROM ({sql_decided(INJECTED, p)})" for p in _POLICIES))
 def policy_actions(spark, sf_dir):
-    docs = decided(spark, sf_dir, None, PATTERNS)
+    docs = normalised_rows(injected(spark, sf_dir), "text")
+    docs = detect.settle(docs, plain=F.when(F.col("norm").isNull(), F.col("detections")).otherwise(detect.detect(F.col("text"))))
     c, p = F.col("d.category"), F.col("d.confidence")
-    rows = docs.select("doc_id", F.explode("detections").alias("d"))
-    results = F.array(*[F.struct(F.lit(x.name).alias("policy"), x.action(c, p).alias("action"), x.audit(c, p).alias("audit")) for x in _POLICIES])
-    out = rows.select("doc_id", "d", F.explode(results).alias("r"))
+    both = F.array(*[F.struct(F.lit(on).alias("on"), F.col(n).alias("found")) for on, n in ((True, "detections"), (False, "plain"))])
+    rows = docs.select("doc_id", F.explode(both).alias("s")).select("doc_id", "s.on", F.explode("s.found").alias("d"))
+    results = [F.struct(F.lit(x.detectors["normalization"]).alias("on"), F.lit(x.name).alias("policy"), x.action(c, p).alias("action"), x.audit(c, p).alias("audit")) for x in _POLICIES]
+    out = rows.select("doc_id", "d", F.explode(F.filter(F.array(*results), lambda r: r["on"] == F.col("on"))).alias("r"))
     return out.select("doc_id", "r.policy", "d.category", "d.detector", "d.start", "r.action", "r.audit")
 
 
@@ -361,13 +387,6 @@ def encoded_candidates(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_count(html, F.lit(normalize.ENTITY.pattern)).alias("n_entities"), F.regexp_count(html, F.lit(normalize.PERCENT.pattern)).alias("n_percent"), runs.alias("n_base64"))
 
 
-def normalised_rows(rows: DataFrame, text: str, patterns=PATTERNS) -> DataFrame:
-    """rows with norm (null if unchanged) and detections, found in the normalised text, with offsets of the original."""
-    rows = detect.settle(rows.withColumn("norm", normalize.normalized(F.col(text))), __seen=F.coalesce(F.col("norm.normalized"), F.col(text)))
-    rows = detect.settle(rows, __found=detect.detect(F.col("__seen"), patterns))
-    return detect.settle(rows, detections=normalize.remap(F.col("__found"), F.col("norm"), F.col(text))).drop("__seen", "__found")
-
-
 @query()
 def normalized_detections(spark, sf_dir):
     return _rows(normalised_rows(read(spark, sf_dir, "pages"), "html", _WEB), F.col("detections"), "page_id")
@@ -429,8 +448,8 @@ def token_shapes(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection, decision and rewriting of the documents under the shipped default policy."""
-    docs = read(spark, sf_dir, "documents")
-    docs = detect.settle(docs.select("doc_id", "text"), detections=detect.detect(F.col("text"), P.DEFAULT.patterns()))
-    docs = rewrite.apply(tokens.with_key(docs, spark, KEY), P.DEFAULT, token=lambda c, t: tokens.token(c, t, F.col("doc_id")))
+    """Detection, decision and rewriting of the documents under the rules of the shipped default policy, by the detectors
+    that need no model (DEFAULT itself turns on two models, which are not here, and fails)."""
+    docs = detected(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", _REGEX)
+    docs = rewrite.apply(tokens.with_key(docs, spark, KEY), _REGEX, token=lambda c, t: tokens.token(c, t, F.col("doc_id")))
     return docs.select("doc_id", "blocked", F.size("detections").alias("n_detections"), "rewritten_text")

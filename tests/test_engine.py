@@ -7,12 +7,14 @@ import json
 import random
 import re
 import urllib.parse
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sluice import queries
 from sluice.functions.catalogue import BASELINE, CATEGORIES, PATTERNS
 from sluice.operators import detect, messages, normalize, rewrite, score, tokens
 from sluice.plans import policy as P
@@ -309,6 +311,55 @@ def test_detections_map_back_to_the_original(spark):
     assert all(texts[k][d.start : d.end] == d.matched_text for k in range(4) for d in got[k])
 
 
+def hidden_documents(spark, path):
+    """Documents (of ids to which nothing is added) with encoded secrets and addresses: text, encoded part, category."""
+    key, url, mail = "AKIA" + "B7" * 8, "postgresql://u:pw12345@db.corp:5432/app", "jane@example.org"
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in key)
+    made = [
+        (base64.b64encode(f"use key {key} now".encode()).decode(), "cloud_api_key"),
+        (url.replace("postgresql:", "postgresql%3A").replace("@", "%40"), "database_url"),
+        (wide, "cloud_api_key"),
+        (mail.replace("@", "&#64;"), "email"),
+        (mail.replace("@", "\u200b@"), "email"),
+    ]
+    rows = [(19 + 20 * k, "en", f"see {x} end", x, c) for k, (x, c) in enumerate(made)]
+    spark.createDataFrame([r[:3] for r in rows], "doc_id long, lang string, text string").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    return {r[0]: r[2:] for r in rows}
+
+
+def test_every_rewriting_query_reads_encoded_texts(spark, tmp_path):
+    hidden = hidden_documents(spark, tmp_path)
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    secret = {k for k, (_, _, c) in hidden.items() if c != "email"}
+    for rows in (run("engine_default"), queries.flagship(spark, str(tmp_path)).collect()):
+        assert {r.doc_id for r in rows if r.blocked} == secret
+        assert all(r.rewritten_text == "see [EMAIL_REDACTED] end nothing".removesuffix("" if "n_detections" not in r else " nothing") for r in rows if not r.blocked)
+    assert {r.doc_id: r.rewritten_text for r in run("engine_mask")} == {k: f"see [{c.upper()}_REDACTED] end nothing" for k, (_, _, c) in hidden.items()}
+    assert all(hidden[r.doc_id][1] not in r.rewritten_text for r in run("engine_tokenize"))
+    assert {r.doc_id for r in run("blocked_documents")} == secret
+    spans = {(r.request_id, r.category, r.offset, r.length) for r in run("audit_events")}
+    assert {(str(k), c, 4, len(x)) for k, (_, x, c) in hidden.items()} <= spans
+    assert {(k, c, x) for k, (_, x, c) in hidden.items()} <= {(r.conversation_id, r.category, r.original) for r in run("token_ledger")}
+    assert {r.doc_id: r.restored for r in run("restore_roundtrip")} == {k: f"{t} nothing" for k, (t, _, _) in hidden.items()}
+    acts = {(r.doc_id, r.policy) for r in run("policy_actions") if r.category != "domain"}
+    plain = {k for k, (t, _, _) in hidden.items() if any(re.search(p.regex, t) for p in PATTERNS if p.category != "domain")}
+    assert acts == {(k, p) for p in ("regex-only", "audit-all") for k in hidden} | {(k, "floors") for k in plain}
+
+
+def test_detector_switches_are_heeded(spark):
+    rows = spark.createDataFrame([("j&#97;ne&#64;example.org and bob@example.org",)], "text string")
+    found = lambda **on: [d.matched_text for d in queries.detected(rows, "text", replace(P.MASK_ALL, detectors=P.MASK_ALL.detectors | on), {"opf": model}).first().detections if d.category in ("email", "private_name")]
+    model = detect.privacy_model(lambda text: F.array(F.struct(F.lit("private_name").alias("label"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit(0.9).alias("score"))))
+    assert found() == ["j&#97;ne&#64;example.org", "bob@example.org"] and found(normalization=False) == ["bob@example.org"]
+    assert found(regex=False, opf=True) == ["j&#97;ne"]
+    with pytest.raises(ValueError, match="no detector"):
+        found(regex=False)
+    with pytest.raises(RuntimeError, match="presidio"):
+        found(presidio=True)
+    with pytest.raises(RuntimeError, match="opf, presidio"):
+        queries.detected(rows, "text", P.DEFAULT)
+
+
 def test_projection_refuses_spans_outside(spark):
     rows = spark.createDataFrame([("a&amp;b",)], "text string").withColumn("norm", normalize.normalized(F.col("text")))
     pick = lambda a, b: rows.select(*normalize.project(F.col("norm"), F.lit(a), F.lit(b))).first()
