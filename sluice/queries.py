@@ -375,8 +375,11 @@ def suspicious_counts(spark, sf_dir):
 
 @query(f"""WITH sent AS ({sql_rewritten(INJECTED, P.MASK_ALL)}) SELECT s.doc_id, contains(rewritten_text, 'made') OR NOT regexp_matches(rewritten_text, '\\[[A-Z_]+_REDACTED\\]') AS leaked FROM sent s""")
 def leak_check(spark, sf_dir):
+    """Whether a rewritten text still holds any of its own originals, or has no mask."""
     rows = rewrite.apply(decided(spark, sf_dir, P.MASK_ALL), P.MASK_ALL)
-    return rows.select("doc_id", score.leaks(F.col("rewritten_text"), F.lit("made"), r"\[[A-Z_]+_REDACTED\]").alias("leaked"))
+    originals, sent, shape = F.filter("decided", lambda d: ~d["audit"]), F.col("rewritten_text"), r"\[[A-Z_]+_REDACTED\]"
+    held = F.exists(originals, lambda d: score.leaks(sent, d["matched_text"], shape))
+    return rows.select("doc_id", (held | ~sent.rlike(shape)).alias("leaked"))
 
 
 @query("""SELECT page_id, CAST(len(regexp_extract_all(html, '&(?:#x?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);')) AS INT) AS n_entities,

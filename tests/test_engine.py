@@ -346,6 +346,14 @@ def test_every_rewriting_query_reads_encoded_texts(spark, tmp_path):
     assert acts == {(k, p) for p in ("regex-only", "audit-all") for k in hidden} | {(k, "floors") for k in plain}
 
 
+def test_leak_check_looks_for_each_text_s_own_secret(spark, tmp_path):
+    key = "AKIA" + "B7" * 8
+    rows = [(19, "en", f"key {key} beside x{key}"), (39, "en", f"key {key} only"), (59, "en", "made of nothing")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.leaked for r in queries.leak_check(spark, str(tmp_path)).collect()}
+    assert got == {19: True, 39: False, 59: True}  # the second copy has no word boundary; the last text has no mask
+
+
 def test_detector_switches_are_heeded(spark):
     rows = spark.createDataFrame([("j&#97;ne&#64;example.org and bob@example.org",)], "text string")
     found = lambda **on: [d.matched_text for d in queries.detected(rows, "text", replace(P.MASK_ALL, detectors=P.MASK_ALL.detectors | on), {"opf": model}).first().detections if d.category in ("email", "private_name")]
