@@ -418,11 +418,20 @@ def policy_diff(spark, sf_dir):
 
 @query("SELECT conv_id, turn, text AS restored FROM conversations")
 def chunked_restore(spark, sf_dir):
-    """Texts cut to 4-sign chunks, put together by seq and restored; without tokens they are what they were."""
-    turns = read(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    parts = chunks(turns.select("conv_id", "turn", "text")).select("conv_id", "turn", "seq", "chunk")
-    whole = parts.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("t"))
-    return turns.join(whole, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("t", F.lit("")).alias("restored"))
+    """Turns with a made secret behind them, tokenised, cut to 4-sign chunks and restored chunk by chunk under the tokens of
+    their conversation. The made part is taken off again if it came back whole; else it stays and the turn differs."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("said")).withColumn("row", F.monotonically_increasing_id())
+    made = F.concat(F.lit(" "), F.expr(MADE))
+    turns = turns.withColumn("doc_id", (F.col("conv_id") * 20 + F.col("turn")).cast("long")).withColumn("made", made).drop("doc_id")
+    docs = detected(turns.withColumn("text", F.concat("said", "made")), "text", P.TOKENIZE_ALL)
+    rows = rewrite.apply(tokens.with_key(docs, spark, KEY), P.TOKENIZE_ALL, token=lambda c, t: tokens.token(c, t, F.col("conv_id")))
+    known = tokens.snapshot(tokens.ledger(rows, "conv_id", F.lit(NOW).cast("timestamp"))).select(F.col("conversation_id").alias("conv_id"), "tokens")
+    parts = chunks(rows.select("row", F.col("rewritten_text").alias("text"))).select("row", F.struct("seq", "chunk").alias("x"))
+    sent = parts.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["chunk"]).alias("chunks"))
+    back = turns.join(sent, "row", "left").join(known, "conv_id", "left")
+    back = detect.settle(back, whole=streaming.restored_chunks(F.col("chunks"), F.col("tokens")))
+    off = F.when(F.endswith("whole", "made"), F.expr("left(whole, length(whole) - length(made))")).otherwise(F.col("whole"))
+    return back.select("conv_id", "turn", off.alias("restored"))
 
 
 @query()
