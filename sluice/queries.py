@@ -174,7 +174,7 @@ _WEB = tuple(p for p in PATTERNS if p.name in ("email", "domain", "rfc1918_ipv4"
 
 @query(f"SELECT {_COLUMNS.replace('doc_id', 'page_id')} FROM ({sql_matches('SELECT page_id, html FROM pages', _WEB, 'page_id', 'html')})")
 def detect_pages(spark, sf_dir):
-    return _rows(read(spark, sf_dir, "pages"), detect.detect(F.col("html"), _WEB, dedupe=False), "page_id")
+    return _rows(read(spark, sf_dir, "pages"), detect.detect(F.col("html"), dedupe=False), "page_id")
 
 
 @query(f"SELECT lang, category, count(*) AS n_detections, count(DISTINCT doc_id) AS n_documents FROM ({sql_deduped(INJECTED)}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang, category")
@@ -392,7 +392,7 @@ def encoded_candidates(spark, sf_dir):
 
 @query()
 def normalized_detections(spark, sf_dir):
-    return _rows(normalised_rows(read(spark, sf_dir, "pages"), "html", _WEB), F.col("detections"), "page_id")
+    return _rows(normalised_rows(read(spark, sf_dir, "pages"), "html"), F.col("detections"), "page_id")
 
 
 @query("SELECT page_id, html FROM pages")

@@ -368,6 +368,33 @@ def test_detector_switches_are_heeded(spark):
         queries.detected(rows, "text", P.DEFAULT)
 
 
+def plain_detections(text):
+    """Normalise, match, drop overlaps in a category, map back."""
+    t, _ = normalize.normalize(text)
+    out = []
+    for c in CATEGORIES:
+        hits = [(m.start(), -m.end(), -p.confidence, k, p.detector) for k, p in enumerate(PATTERNS) if p.category == c for m in re.finditer(p.regex, t.text)]
+        last = 0
+        for s, e, _, _, name in sorted(hits):
+            if s >= last:
+                last = -e
+                out.append((name, int(t.start[s]), int(t.end[last - 1]), text[t.start[s] : t.end[last - 1]]))
+    return sorted(out)
+
+
+def test_pages_are_searched_for_every_pattern(spark, tmp_path):
+    rows = [(2 * k, x) for k, x in enumerate(POSITIVE.values())] + [(2 * k + 1, f"<p>{base64.b64encode(x.encode()).decode()}</p>") for k, x in enumerate(POSITIVE.values())]
+    rows += [(100, f"<p>{urllib.parse.quote('postgres://u:p@h:5432/db', safe='')}</p>"), (101, "".join(f"&#{ord(c)};" for c in POSITIVE["aws_access_key_id"]))]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got: dict[int, list] = {}
+    for r in queries.normalized_detections(spark, str(tmp_path)).collect():
+        got.setdefault(r.page_id, []).append((r.detector, r.start, r.end, r.matched_text))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, x in rows if (v := plain_detections(x))}
+    assert {d for v in got.values() for d, *_ in v} == {p.detector for p in PATTERNS}
+    raw = {r.detector for r in queries.detect_pages(spark, str(tmp_path)).collect()}
+    assert raw == {p.detector for p in PATTERNS}
+
+
 def test_projection_refuses_spans_outside(spark):
     rows = spark.createDataFrame([("a&amp;b",)], "text string").withColumn("norm", normalize.normalized(F.col("text")))
     pick = lambda a, b: rows.select(*normalize.project(F.col("norm"), F.lit(a), F.lit(b))).first()
