@@ -3,8 +3,10 @@
 Three base patterns (BASE) find assignments, access keys and hex runs. Beyond them, candidates are decoded and
 reported only if their content parses:
   jwt   three base64url parts; header and payload decode to JSON objects, the header names its algorithm
-  pem   a BEGIN/END pair of a private key whose base64 body is a key encoding
-  der   a base64 run that decodes to a key encoding
+  pem   a BEGIN/END pair of a private key whose base64 body is a key encoding; the body may hold line ends, slashes and
+        signs as JSON and source code escape them
+  der   a base64 run that decodes to a key encoding, in one line, or (outside of pem) cut to lines by plain or escaped
+        line ends: then the encoding's own length says where it ends
   hexder  the same in a hex run
 A key encoding is DER whose nested lengths fill the value exactly and whose fields are those of a PKCS#1, PKCS#8
 or SEC 1 private key, or the OpenSSH container, whose length-prefixed fields are walked to the end. Encodings that
@@ -39,9 +41,14 @@ ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 """Runs of 16 or more: the base pattern's runs are maximal, so leaving shorter ones out first is the same."""
-JWT = re.compile(rb"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(rb"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+JWT = re.compile(rb"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{3,}\.[A-Za-z0-9_-]*")
+"""The least header, {"alg":""}, has 14 signs, the least payload 3."""
+PEM = re.compile(rb"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
 BASE64 = re.compile(rb"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+_BREAK = rb"(?:[ \t]*(?:\r\n?|\n|\\+r(?:\\+n)?|\\+n)[ \t]*)+"
+FIRST = re.compile(rb"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?:M[A-P][A-Za-z0-9+/_-]{2}|b3Bl)[A-Za-z0-9+/_-]{12,}(?=" + _BREAK + rb"[A-Za-z0-9+/_-])")
+"""The first line of a wrapped run that could begin a DER sequence or an OpenSSH container."""
+NEXT = re.compile(_BREAK + rb"([A-Za-z0-9+/_-]+)")
 HEXRUN = re.compile(rb"(?:[0-9a-fA-F]{2}){24,}")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -104,6 +111,11 @@ def key_encoding(data: bytes) -> str | None:
 
 
 def _openssh(data: bytes) -> bool:
+    return _openssh_end(data) == len(data)
+
+
+def _openssh_end(data: bytes) -> int | None:
+    """Where the container's last field ends; None if data ends before."""
     at = 15
 
     def field() -> bytes | None:
@@ -117,9 +129,9 @@ def _openssh(data: bytes) -> bool:
         return data[at - n : at]
 
     if any(field() is None for _ in range(3)) or at + 4 > len(data):
-        return False
+        return None
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-    return 1 <= keys <= 16 and all(field() is not None for _ in range(keys)) and bool(field()) and at == len(data)
+    return at if 1 <= keys <= 16 and all(field() is not None for _ in range(keys)) and bool(field()) else None
 
 
 def _base64(run: bytes) -> bytes | None:
@@ -147,6 +159,76 @@ def _jwt(run: bytes) -> bool:
     return bool(head) and isinstance(head.get("alg"), str) and _json_object(payload) is not None
 
 
+def _jwts(text: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of tokens. Where a candidate is none, its second part may begin one."""
+    at = 0
+    while m := JWT.search(text, at):
+        if _jwt(m[0]):
+            yield m.span()
+            at = m.end()
+        else:
+            at = m.start() + m[0].index(b".") + 1
+
+
+def _pem(body: bytes) -> bool:
+    """Whether a PEM body, with line ends, slashes and signs escaped or not, is a key encoding."""
+    body = re.sub(rb"\\+u00([0-7][0-9a-fA-F])", lambda m: bytes([int(m[1], 16)]), body)
+    body = re.sub(rb"\\+(?=[/\s])", b"", re.sub(rb"\\+[nrt]", b"\n", body))
+    raw = _base64(b"".join(re.sub(rb"^[A-Za-z-]+: .*$", b"", body, flags=re.M).split()))
+    return bool(raw) and key_encoding(raw) is not None
+
+
+def _pems(text: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of pairs; a BEGIN without an END before the next one does not hide that one."""
+    at = 0
+    while m := PEM.search(text, at):
+        inner = m if _pem(m[2]) else PEM.match(text, m.start() + m[0].rindex(b"-----BEGIN "))
+        if inner and (inner is m or _pem(inner[2])):
+            yield inner.span()
+        at = max(m.end(), inner.end() if inner else 0)
+
+
+def _size(head: bytes) -> int | None:
+    """The length that a DER sequence, beginning with a version of one byte, says it has."""
+    if len(head) < 2 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] >= 0x80 else 0
+    size = int.from_bytes(head[2 : 2 + n], "big") if head[1] >= 0x80 else head[1]
+    return 2 + n + size if n <= 4 and head[2 + n : 4 + n] == b"\x02\x01" else None
+
+
+def _wrapped(text: bytes) -> Iterator[tuple[int, int]]:
+    """Spans of key encodings in base64 that is cut to lines, as long as the encoding says."""
+    at = 0
+    while m := FIRST.search(text, at):
+        at, run, end = m.end(), [m[0]], m.end()
+        ssh, head = m[0].startswith(b"b3BlbnNzaC1r"), _base64(m[0][:16])
+        size = None if ssh or head is None else _size(head)
+        need = None if size is None else -(-size * 8 // 6)
+        if not ssh and need is None:
+            continue
+        have, ends = len(m[0]), [(0, m.start())]
+        while (ssh or have < need) and (n := NEXT.match(text, end)):
+            ends.append((have, n.start(1)))
+            run.append(n[1])
+            have, end = have + len(n[1]), n.end()
+        whole = b"".join(run)
+        if ssh:
+            raw = _base64(whole[: len(whole) - len(whole) % 4] if len(whole) % 4 == 1 else whole)
+            size = _openssh_end(raw) if raw else None
+            need = None if size is None else -(-size * 8 // 6)
+        if need is None or need > have or len(ends) < 2:
+            continue
+        raw = _base64(whole[:need])
+        before, place = ends[bisect_left(ends, (need, -1)) - 1]
+        stop = place + need - before
+        if need <= len(m[0]) or not raw or not key_encoding(raw) or re.match(rb"[A-Za-z0-9+/_-]", text[stop : stop + 1]):
+            continue
+        stop = re.compile(rb"={0,2}").match(text, stop).end()
+        yield m.start(), stop
+        at = stop
+
+
 def byte_spans(text: bytes) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end), in bytes, ascending."""
     out = []
@@ -157,22 +239,24 @@ def byte_spans(text: bytes) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     if b"h" * 16 in text.translate(_HEXES):
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if b"eyJ" in text or b"ey" in text and b"." in text and b"b" * 24 in text.translate(_RUNS):
-        out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if _jwt(m[0])]
-    if b"PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(rb"^[A-Za-z-]+: .*$", b"", m[2], flags=re.M)
-            raw = _base64(b"".join(body.split()))
-            if raw and key_encoding(raw):
-                out.append((m.start(), 4, m.end()))
-    if b"b" * 40 in text.translate(_RUNS):
+    runs = text.translate(_RUNS)
+    if b"b" * 14 in runs and b"." in text:
+        out += [(s, 3, e) for s, e in _jwts(text)]
+    pems = list(_pems(text)) if b"PRIVATE KEY-----" in text else []
+    out += [(s, 4, e) for s, e in pems]
+    ders = []
+    if b"b" * 40 in runs:
         for m in BASE64.finditer(text):
             raw = _base64(m[0])
             if raw and key_encoding(raw):
-                out.append((m.start(), 5, m.end()))
+                ders.append(m.span())
         for m in HEXRUN.finditer(text):
             if key_encoding(bytes.fromhex(m[0].decode())):
                 out.append((m.start(), 6, m.end()))
+    if b"b" * 16 in runs:
+        taken = sorted([*pems, *ders])
+        ders += [(s, e) for s, e in _wrapped(text) if not any(a < e and s < b for a, b in taken)]
+    out += [(s, 5, e) for s, e in ders]
     return sorted(out)
 
 

@@ -312,6 +312,33 @@ def test_confirmed_spans():
     assert not [x for x in kinds(base64.b64encode(random.Random(1).randbytes(90)).decode()) if x[0] in ("der", "hexder")]
 
 
+def test_escaped_wrapped_and_hidden_candidates():
+    kinds = lambda text: [(secret_scan.KINDS[k], text[s:e]) for s, k, e in secret_scan.scan(text.encode()) if k > 2]
+    b64 = lambda x: base64.urlsafe_b64encode(x.encode()).rstrip(b"=").decode()
+    for name, raw in sample_keys().items():
+        run = base64.b64encode(raw).decode()
+        lines = [run[i : i + 64] for i in range(0, len(run), 64)]
+        pem = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----", ""])
+        for text in (json.dumps(pem[:-1])[1:-1], json.dumps(json.dumps(pem[:-1]))[3:-3], json.dumps(pem[:-1])[1:-1].replace("/", "\\/").replace("=", "\\u003d")):
+            assert ("pem", text) in kinds(f'{{"private_key": "{text}", "x": 1}}'), (name, text)
+        assert [x for x in kinds(f"-----BEGIN PRIVATE KEY-----\n{pem}") if x[0] == "pem"] == [("pem", pem[:-1])]
+        for width in (16, 64, 76):
+            for end in ("\n", "\r\n", "\n    ", "\\n"):
+                cut = end.join(run[i : i + width] for i in range(0, len(run), width))
+                if end in cut:
+                    assert ("der", cut) in kinds(f"é key: {cut}\nthat is all"), (name, width, end)
+        cut = "\n".join(lines)
+        if len(lines) > 1:
+            assert not kinds(cut[:-8]) and not kinds(cut[:30] + "zzzz" + cut[30:])
+            assert [x[0] for x in kinds(pem)] == ["pem"]
+    for head in ('{\n"alg":"none"}', '{\r\n "alg":"HS256"}', '{\t"alg":"HS256"}', ' {"alg":""}', '{"alg":""}'):
+        for body in ("{}", '{\n"sub":"a"}'):
+            token = f"{b64(head)}.{b64(body)}.c2ln"
+            assert kinds(f"see {token} ok") == [("jwt", token)]
+            assert kinds(f"see abcdefgh.{token} ok") == [("jwt", token)]
+            assert kinds(f"see abcdefgh.abcdefgh.{token}, {token}") == [("jwt", token)] * 2
+
+
 def test_secret_query_equals_plain(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in queries.op7_secret_scan(spark, SF).collect():
