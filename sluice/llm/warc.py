@@ -4,7 +4,7 @@ An archive is two tables in a folder:
   payloads  key (SHA-256 of the bytes), payload: the bytes of every different payload, once
   records   key and the exact header bytes of every record: WARC header, blank line, HTTP header, blank line
 Reading joins them on the key. A payload whose SHA-256 is not its key, or a record without its payload, fails the
-read. Digest and length of a payload are computed once for each stored payload, below the join; a plan that does not
+read; so does a rebuilt record whose content is not as long as its header says. Digest and length of a payload are computed once for each stored payload, below the join; a plan that does not
 ask for payload or record bytes does not move them. Records of one payload may be a large part of all rows: storing
 combines them before the shuffle, and reading is a plain equi-join whose skewed partitions Spark splits.
 
@@ -102,6 +102,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     head = F.col("header")
     kind = field(head, "WARC-Type")
     stated = F.concat(F.lit("sha1:"), F.col("sha1"))
+    record = F.concat("header", F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n"))
+    block = F.octet_length(F.substring_index(head.cast("string"), "\r\n\r\n", 1)) + 4
+    whole = F.length(record) == block + field(head, "Content-Length").try_cast("long") + 4
     return joined.select(
         _page(field(head, "WARC-Record-ID")).alias("page_id"),
         kind.alias("record_type"),
@@ -112,7 +115,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         .alias("payload_digest"),
         "payload_bytes",
         "payload",
-        F.concat("header", F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n")).alias("record"),
+        F.when(whole, record).otherwise(F.raise_error(F.lit("a record is not as long as it states")).cast("binary")).alias("record"),
     )
 
 

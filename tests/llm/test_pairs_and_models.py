@@ -393,3 +393,25 @@ def test_pipeline_stages_take_odd_rows(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_archive_query_rebuilds_every_record(spark, tmp_path, monkeypatch):
+    write = warc.write
+
+    def shortened(rows, path):
+        """An archive whose records state a content that is a byte too short."""
+        write(rows, f"{path}/whole")
+        spark.read.parquet(f"{path}/whole/payloads").write.parquet(f"{path}/payloads")
+        records = spark.read.parquet(f"{path}/whole/records")
+        n = F.regexp_extract(F.col("header").cast("string"), r"\r\nContent-Length: (\d+)\r\n", 1)
+        less = F.concat(F.lit("\r\nContent-Length: "), (n.cast("long") - 1).cast("string"), F.lit("\r\n\r\n"))
+        old = F.concat(F.lit("\r\nContent-Length: "), n, F.lit("\r\n\r\n"))
+        header = F.replace(F.col("header").cast("string"), old, less).cast("binary")
+        records.select("key", header.alias("header")).write.parquet(f"{path}/records")
+
+    spark.createDataFrame([(1, "u", "abc"), (2, "u\u00e9", "x" * 1500), (3, "u", "x" * 1500)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.op2_warc_archive(spark, str(tmp_path)).count() == 3
+    assert sorted(r.payload_bytes for r in queries.op2_warc_archive(spark, str(tmp_path)).collect()) == [3, 1500, 1500]
+    monkeypatch.setattr(warc, "write", shortened)
+    with pytest.raises(Exception, match="as long as it states"):
+        queries.op2_warc_archive(spark, str(tmp_path)).collect()
