@@ -1,23 +1,26 @@
 """Operator 4, language-model scoring with a hidden Markov model.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` of the text with A-Z in lower case, then one end. The vocabulary is all tokens
-of the training texts with their exact counts (N tokens, V different). The `head` most frequent words have emissions
-of their own; every other word is emitted in two steps, by a class (a hash of its last 3 bytes, `classes` of them) and
-within the class by its count:
+of the training texts with their exact counts (N tokens, V different). Every word has an emission in every state. The
+`head` most frequent words and the end have it directly; every other word is emitted in two steps, by a class (a hash
+of its last 3 bytes, `classes` of them) and within the class by its own table row:
 
-    P(w | state) = P(class | state) * (c + 1) / (N_class + V_class + 1)
+    P(w | state) = P(class | state) * (E(w, state) / share(class, state) + 1) / (N_class + V_class + 1)
 
-so that seen words and one unseen word of each class share the class's probability. States emit `head` words, classes
-and the end, smoothed by `smooth` times the corpus shares; so the likelihood of a text is the product of an HMM over
-symbols, which scaled forward recursion computes exactly, and of its words' shares of their classes.
+E(w, state) is how often the state is expected to have emitted w, and share(class, state) the part of the class's
+tokens that is the state's; so the words of a class and one unseen word have probability 1 in every state. States emit
+head, classes and the end, smoothed by `smooth` times the corpus shares.
 
-Baum-Welch: each of `rounds` passes over all training texts runs forward and backward recursions in the tasks, sums
-the expected counts by symbol and state in a shuffle, and takes new parameters from them: (head + classes + 1) * states
-numbers, whatever the corpus. Start: states emit random multiples of the corpus shares.
+Baum-Welch: each of `rounds` passes over all training texts runs scaled forward and backward recursions in the tasks
+and sums the expected counts by symbol and state in a shuffle: (head + classes + 1) * states numbers, a fixed size.
+The last pass sums them by word too, which makes the table of E: a row for each word of the corpus beyond the head,
+written to the shared folder, with the word's distribution over states in steps of 1/248. Start: states emit random
+multiples of the corpus shares. Recursions of the training run in single precision and are summed in double; scoring
+runs in double.
 
-Word counts are a table. The common words, those above a count that at most `common` words reach (a histogram of the
-counts' logarithms gives it), are broadcast with their counts. The others' counts are joined by a shuffle: one row for
-each text and different uncommon word.
+The common words, the head and those above a count that at most `common` words reach (a histogram of the counts'
+logarithms gives it), are looked up in a broadcast; the others' counts and emissions are joined by a shuffle, one row
+for each text and different uncommon word. Which way a word goes changes no result.
 
 Null and empty texts have the end only. Texts of any length are scored whole: recursions run in blocks of tokens whose
 boundary states are kept, and blocks are recomputed for the backward pass. Repeated rows train and score each; a null
@@ -31,7 +34,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import Stage, doc_bytes, split_batches
 
+LEVELS = 248
+"""Steps of a word's distribution over states: one byte for each of at most 8 states."""
+
 
 @dataclass(frozen=True)
 class Config:
@@ -50,11 +56,16 @@ class Config:
     rounds: int = 4
     smooth: float = 0.1
     cells: int = 300_000
-    block: int = 512
-    together: int = 6_000_000
+    block: int = 2048
+    together: int = 4_000_000
     flush: int = 300_000
+    every: int = 8
     seed: int = 4
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.states <= 8:
+            raise ValueError("states must be from 1 to 8")
+
 
 @dataclass(frozen=True)
 class Model:
@@ -74,14 +85,14 @@ def class_of(word: bytes, classes: int) -> int:
 
 def padded(seqs: list[np.ndarray], c: Config) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences of near-equal length together: their indices, lengths (descending), symbols (time x sequence). A block
-    of times of one group has at most `cells` symbols."""
+    of times of one group has at most `cells` symbols, or one sequence's."""
     order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
     at = 0
     while at < len(order):
         longest = len(seqs[order[at]])
         some = order[at : at + max(1, c.cells // min(longest, c.block))]
         n = np.array([len(seqs[i]) for i in some])
-        out = np.zeros((longest, len(some)), np.int32)
+        out = np.zeros((longest, len(some)), np.int64)
         for k, i in enumerate(some):
             out[: n[k], k] = seqs[i]
         yield np.array(some), n, out
@@ -93,85 +104,112 @@ def lengths_left(n: np.ndarray, t0: int, times: int) -> np.ndarray:
     return np.searchsorted(-n, -(t0 + np.arange(times)), side="left")
 
 
-def gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
-    """Batches and the sequences of their column seq, together up to `most` symbols: long sequences then share their
-    steps."""
-    some, seqs, size = [], [], 0
-    for b in batches:
-        column = b.column("seq")
-        at, symbols = column.offsets.to_numpy(), column.values.to_numpy()
-        some.append(b)
-        seqs += [symbols[x:y] for x, y in zip(at, at[1:], strict=False)]
-        size += int(at[-1] - at[0])
-        if size >= most:
-            yield some, seqs
-            some, seqs, size = [], [], 0
-    if some:
-        yield some, seqs
-
-
-def forward(m: Model, emit: np.ndarray, live: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward variables (state x time x sequence) and scales of a block of times. emit: the symbols' emissions,
-    shaped alike; start: the variables before the block, None at the first time. Beyond a sequence's end variables are 0
-    and scales 1."""
-    alpha, scale, move = np.zeros(emit.shape), np.ones(emit.shape[1:]), np.ascontiguousarray(m.move.T)
-    for t, k in enumerate(live.tolist()):
-        a = alpha[:, t, :k]
-        np.multiply(m.first[:, None] if start is None else move @ start[:, :k], emit[:, t, :k], out=a)
-        s = a.sum(axis=0)
-        a /= s
-        scale[t, :k] = s
-        start = alpha[:, t]
-    return alpha, scale
+class Recursion:
+    """Forward and backward variables of blocks of times (time x sequence x state) in buffers that all blocks share.
+    Emissions are divided by their mean over the states, which keeps products of `every` of them in range; variables are
+    scaled to sum 1 at every `every`-th time of a block."""
+
+    def __init__(self, m: Model, c: Config, kind: type) -> None:
+        self.states, self.every, self.kind = len(m.first), c.every, kind
+        self.level = m.emit.mean(axis=1)
+        self.emit = np.ascontiguousarray(m.emit / np.where(self.level > 0, self.level, 1)[:, None], kind)
+        self.first, self.move, self.back = m.first.astype(kind), m.move.astype(kind), np.ascontiguousarray(m.move.T, kind)
+        self.one, self.buffers = np.ones(self.states, kind), {}
+
+    def buffer(self, name: str, shape: tuple[int, int]) -> np.ndarray:
+        size = shape[0] * shape[1] * self.states
+        if len(self.buffers.get(name, ())) < size:
+            self.buffers[name] = np.empty(size, self.kind)
+        return self.buffers[name][:size].reshape(*shape, self.states)
+
+    def given(self, part: np.ndarray) -> np.ndarray:
+        return np.take(self.emit, part, axis=0, out=self.buffer("given", part.shape), mode="clip")
+
+    def forward(self, given: np.ndarray, live: list[int], start: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Variables, 0 beyond a sequence's end, and the scales. start: the variables before the block."""
+        alpha, scales = self.buffer("alpha", given.shape[:2]), []
+        for t, k in enumerate(live):
+            a = alpha[t, :k]
+            if start is None:
+                np.multiply(self.first, given[t, :k], out=a)
+            else:
+                np.matmul(start[:k], self.move, out=a)
+                np.multiply(a, given[t, :k], out=a)
+            if t % self.every == 0:
+                scales.append(a @ self.one)
+                a /= scales[-1][:, None]
+            alpha[t, k:] = 0
+            start = alpha[t]
+        return alpha, scales
+
+    def backward(self, given: np.ndarray, live: list[int], after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Variables, and the product of variables and emissions (in given's place); both 0 beyond a sequence's end. after:
+        the variables at the block's end, which become those at its start."""
+        beta = self.buffer("beta", given.shape[:2])
+        for t in range(len(live) - 1, -1, -1):
+            k = live[t]
+            b, x = after[:k], given[t, :k]
+            beta[t, :k] = b
+            beta[t, k:] = given[t, k:] = 0
+            np.multiply(x, b, out=x)
+            np.matmul(x, self.back, out=b)
+            if t % self.every == 0:
+                scale = (1 / (b @ self.one))[:, None]
+                b *= scale
+                x *= scale
+        return beta, given
 
 
 def likelihood(m: Model, seqs: list[np.ndarray], c: Config) -> np.ndarray:
     """log10 P of each sequence of symbols."""
-    out, emit = np.zeros(len(seqs)), np.ascontiguousarray(m.emit.T)
+    out, r = np.zeros(len(seqs)), Recursion(m, c, np.float64)
+    level = np.log10(np.where(r.level > 0, r.level, 1))
     for some, n, obs in padded(seqs, c):
-        start = None
+        start, total = None, np.zeros(len(n))
         for t in range(0, len(obs), c.block):
             part = obs[t : t + c.block]
-            alpha, scale = forward(m, emit[:, part], lengths_left(n, t, len(part)), start)
-            start = alpha[:, -1]
-            out[some] += np.log10(scale).sum(axis=0)
-    return out
-
-
-def expect(m: Model, seqs: list[np.ndarray], c: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of first states, moves and emissions, and the log10 likelihood."""
-    k, emits = len(m.first), np.ascontiguousarray(m.emit.T)
-    first, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(emits), 0.0
+            live = lengths_left(n, t, len(part))
+            alpha, scales = r.forward(r.given(part), live.tolist(), start)
+            for s in scales:
+                total[: len(s)] += np.log10(s)
+            ends = alpha.sum(axis=2)  # what the last scaling left, at a sequence's last time
+            last = (n > t) & (n <= t + len(part))
+            total[last] += np.log10(ends[n[last] - 1 - t, np.flatnonzero(last)])
+            start = alpha[-1].copy()
+        out[some] = total
+    return out + np.array([level[s].sum() for s in seqs])
+
+
+def expect(m: Model, seqs: list[np.ndarray], c: Config, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of first states, moves and emissions."""
+    r, k = Recursion(m, c, kind), len(m.first)
+    first, move, emit, least = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(m.emit))), np.finfo(kind).tiny
     for _, n, obs in padded(seqs, c):
         starts, start, cuts = [], None, range(0, len(obs), c.block)
         for t0 in cuts:
             starts.append(start)
             if t0 + c.block < len(obs):
                 part = obs[t0 : t0 + c.block]
-                start = forward(m, emits[:, part], lengths_left(n, t0, len(part)), start)[0][:, -1].copy()
-        beta = np.ones((k, len(n)))
+                start = r.forward(r.given(part), lengths_left(n, t0, len(part)).tolist(), start)[0][-1].copy()
+        after = np.ones((len(n), k), kind)
         for t0, start in zip(reversed(cuts), reversed(starts), strict=True):
             part = obs[t0 : t0 + c.block]
-            live, given = lengths_left(n, t0, len(part)), emits[:, part]
-            alpha, scale = forward(m, given, live, start)
-            total += np.log10(scale).sum()
-            given /= scale
-            after = np.zeros(given.shape)  # emission times backward variable, by scale
-            for t in range(len(part) - 1, -1, -1):
-                x, b = after[:, t, : live[t]], beta[:, : live[t]]
-                np.multiply(given[:, t, : live[t]], b, out=x)
-                given[:, t, : live[t]] = b  # from here on the backward variable
-                b[:] = m.move @ x
-            gamma = alpha * given if live[-1] == len(n) else np.where(np.arange(len(n)) < live[:, None], alpha * given, 0)
-            move += m.move * (alpha[:, :-1].reshape(k, -1) @ after[:, 1:].reshape(k, -1).T)
+            live, given = lengths_left(n, t0, len(part)).tolist(), r.given(part)
+            alpha, _ = r.forward(given, live, start)
+            beta, ahead = r.backward(given, live, after)
+            if start is not None:
+                x, y = start[: live[0]], ahead[0, : live[0]]
+                move += m.move * ((x / (((x @ r.move) * y) @ r.one)[:, None]).T @ y)
+            z = np.einsum("tks,tks->tk", alpha, beta)
+            alpha *= np.reciprocal(np.maximum(z, least, out=z), out=z)[:, :, None]
+            move += m.move * (alpha[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
+            beta *= alpha  # from here on the states' probabilities
             if start is None:
-                first += gamma[:, 0].sum(axis=1)
-            else:
-                move += m.move * (start[:, : live[0]] @ after[:, 0, : live[0]].T)
-            flat = part.ravel()
+                first += beta[0].sum(axis=0)
+            by_state, flat = beta.reshape(-1, k).T.astype(np.float64, order="C"), part.ravel()
             for s in range(k):
-                emit[s] += np.bincount(flat, weights=gamma[s].ravel(), minlength=emit.shape[1])
-    return first, move, emit.T, total
+                emit[s] += np.bincount(flat, weights=by_state[s], minlength=emit.shape[1])
+    return first, move, emit.T
 
 
 def initial(shares: np.ndarray, c: Config) -> Model:
@@ -190,11 +228,99 @@ def improve(first: np.ndarray, move: np.ndarray, emit: np.ndarray, shares: np.nd
     return Model((first + 1) / (first + 1).sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+@dataclass(frozen=True)
+class Classes:
+    """The emissions of words by their classes. emit: class x state; share, tokens, kinds: the class's tokens by state, in
+    all, and its different words."""
+
+    emit: np.ndarray
+    share: np.ndarray
+    tokens: np.ndarray
+    kinds: np.ndarray
+
+    def emissions(self, kind: np.ndarray, count: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """P(w | state) of words of the classes `kind`, each with its count (0 if unseen) and packed distribution."""
+        steps = np.ascontiguousarray(packed, "<i8").view(np.uint8).reshape(-1, 8)[:, : self.emit.shape[1]].astype(np.float64)
+        own = steps * (count / np.maximum(steps.sum(axis=1), 1))[:, None]
+        return self.emit[kind] * (own / np.maximum(self.share[kind], 1e-300) + 1) / (self.tokens + self.kinds + 1)[kind][:, None]
+
+
+def pack(counts: list[Column]) -> Column:
+    """A word's expected counts by state as their distribution: a byte for each state, from 1 to LEVELS."""
+    total = sum(counts[1:], counts[0])
+    steps = [F.round((LEVELS - 1) * F.coalesce(x / F.nullif(total, F.lit(0.0)), F.lit(0.0))).cast("long") + 1 for x in counts]
+    return sum((F.shiftleft(x, 8 * s) for s, x in enumerate(steps[1:], 1)), steps[0])
+
+
+def _class(word: Column, classes: int) -> Column:
+    raw = word.cast("binary")
+    return (F.crc32(F.when(F.length(raw) > 3, F.substring(raw, -3, 3)).otherwise(raw)) % classes).cast("int")
+
+
+CODED = "doc_id long, teach boolean, held_out boolean, seq array<int>, words array<binary>, kinds array<short>"
+
+
+class Vocabulary:
+    """The common words. A text's tokens are their ranks, then `end`, or -1 - k for the k-th of its other words."""
+
+    def __init__(self, words: list[bytes], c: Config, head: int) -> None:
+        self.rank, self.end, self.head, self.classes = {w: k for k, w in enumerate(words)}, len(words), head, c.classes
+        kind = np.array([class_of(w, c.classes) for w in words[head:]], np.int32)
+        self.symbol = np.concatenate([np.arange(head), head + kind, [head + c.classes]]).astype(np.int32)
+        self.words = words
+
+    def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[list[bytes]], list[list[int]]]:
+        """For each text its tokens, its different uncommon words and their classes."""
+        cut = [words_of(t) for t in texts]
+        ends = np.cumsum([len(x) for x in cut])
+        ranks = np.fromiter(map(self.rank.get, chain.from_iterable(cut), repeat(-1)), np.int32, int(ends[-1]))
+        seqs, words, kinds = [], [], []
+        for own, at, end in zip(cut, [0, *ends.tolist()], ends.tolist(), strict=False):
+            seq, seen = np.empty(end - at + 1, np.int32), {}
+            seq[:-1], seq[-1] = ranks[at:end], self.end
+            for k in np.flatnonzero(ranks[at:end] < 0).tolist():
+                seq[k] = -1 - seen.setdefault(own[k], len(seen))
+            seqs.append(seq)
+            words.append(list(seen))
+            kinds.append([class_of(w, self.classes) for w in seen])
+        return seqs, words, kinds
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row offsets, from 0."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches together of up to `most` tokens: long sequences then share their steps."""
+    some, size = [], 0
+    for b in batches:
+        some.append(b)
+        offsets = b.column("seq").offsets.to_numpy()
+        size += int(offsets[-1] - offsets[0])
+        if size >= most:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, size = [], 0
+    if some and (whole := pa.Table.from_batches(some).combine_chunks().to_batches()):
+        yield whole[0]
+
+
+def _split(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    return [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def _uncommon(tokens: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where uncommon words stand, and the places of these words among all rows' uncommon words. own: their row offsets."""
+    at = np.flatnonzero(tokens < 0)
+    row = np.searchsorted(offsets, at, side="right") - 1
+    return at, own[row] - 1 - tokens[at]
+
+
 def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config = Config()) -> DataFrame:
     """docs: doc_id, text. A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     c, spark = config, docs.sparkSession
-    stage, symbols = Stage(spark, "hmm"), c.head + c.classes + 1
-    end = symbols - 1
+    stage = Stage(spark, "hmm")
     texts = docs.select("doc_id", train_when.alias("teach"), held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,127 +335,165 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     counts = texts.filter("teach").select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    counts = stage.write(counts.select(F.col("word").cast("string").alias("word"), "c"), "counts")
-    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, different = size["n"] or 0, size["v"]
-    ends = counts.filter("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    words = counts.filter("word <> ''").withColumn("level", F.floor(F.log2("c") * 64).cast("int"))
+    counts = stage.write(counts, "counts")
+    size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
+    total, different, ends = size["n"] or 0, size["v"], size["ends"] or 0
+    words = counts.filter(F.length("word") > 0).withColumn("level", F.floor(F.log2("c") * 64).cast("int"))
     level = reach = 0
     for r in words.groupBy("level").count().orderBy(F.desc("level")).collect():  # 64 rows for a doubling of counts
         reach += r["count"]
         if reach > c.common:
             level = r["level"] + 1
             break
-    top = words.filter(F.col("level") >= level).select("word", "c").toArrow()  # at most `common` rows
-    top = sorted(zip(top["c"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1].encode()))
-    index = spark.sparkContext.broadcast({w.encode(): k for k, (_, w) in enumerate(top)})
-    symbol = np.array([k if k < c.head else c.head + class_of(w.encode(), c.classes) for k, (_, w) in enumerate(top)] + [0], np.int32)
-    gain = np.log10(np.array([n for n, _ in top] + [0], float) + 1)
-    by_rank = spark.sparkContext.broadcast((symbol, gain))  # the last place is for uncommon words
-    tail = words.filter(F.col("level") < level).select("word", "c")
-    suffix = F.col("word").cast("binary")
-    bucket = (F.crc32(F.when(F.length(suffix) > 3, F.substring(suffix, -3, 3)).otherwise(suffix)) % c.classes).cast("int")
+    first = words.orderBy(F.desc("c"), "word").limit(c.head).select("word", "c").toArrow()
+    more = words.filter(F.col("level") >= level).select("word", "c").toArrow()  # at most `common` rows
+    count_of = {w: n for t in (more, first) for w, n in zip(t["word"].to_pylist(), t["c"].to_pylist(), strict=True)}
+    top = sorted(count_of, key=lambda w: (-count_of[w], w))
+    head = first.num_rows
     sums, kinds = np.zeros(c.classes), np.zeros(c.classes)
-    for r in tail.groupBy(bucket.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # `classes` rows
+    for r in words.groupBy(_class(F.col("word"), c.classes).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # `classes` rows
         sums[r["k"]], kinds[r["k"]] = r["n"], r["v"]
-    for n, w in top[c.head :]:
-        k = class_of(w.encode(), c.classes)
-        sums[k], kinds[k] = sums[k] + n, kinds[k] + 1
-    own = np.zeros(c.head)
-    own[: len(top)] = [n for n, _ in top[: c.head]]
-    shares = np.concatenate([own, sums + 1, [max(ends, 1)]])
+    for w in top[:head]:
+        k = class_of(w, c.classes)
+        sums[k], kinds[k] = sums[k] - count_of[w], kinds[k] - 1
+    shares = np.concatenate([[count_of[w] for w in top[:head]], sums + 1, [max(ends, 1)]])
     shares /= shares.sum()
-    base_unit = float(np.log10(total + different + 1))
-    inside = np.log10(sums + kinds + 1)
+    gain = np.log10(np.array([*(count_of[w] for w in top), ends], float) + 1)
+    known = Vocabulary(top, c, head)
+    vocabulary = spark.sparkContext.broadcast(known)  # `common` + `head` words at most
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Symbols; what needs no tail counts; the tail's words with their numbers."""
-        get, (symbol, gain) = index.value.get, by_rank.value
         for b in split_batches(batches):
-            seqs, rows = [], []
-            for t in doc_bytes(b.column("text")):
-                found = words_of(t)
-                ranks = np.fromiter(map(get, found, repeat(-1)), np.int32, len(found))
-                rare = np.flatnonzero(ranks < 0).tolist()
-                seq = np.append(symbol[ranks], np.int32(end))
-                if rare:
-                    seq[rare] = [c.head + class_of(found[k], c.classes) for k in rare]
-                rest, gains = Counter([found[k] for k in rare]), gain[ranks]
-                by_class = seq[(seq >= c.head) & (seq < end)] - c.head
-                seqs.append(seq)
-                rows.append((
-                    len(seq), len(found) - len(rare) + (ends > 0),
-                    float(gains.sum() + np.log10(ends + 1) - base_unit * len(seq)),
-                    float(gains[ranks >= c.head].sum() - inside[by_class].sum()), list(rest), list(rest.values()),
-                ))
-            made = [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in ("doc_id", "teach", "held_out")), pa.array(seqs, pa.list_(pa.int32())), *made], schema_names
-            )
-
-    schema = "doc_id long, teach boolean, held_out boolean, seq array<int>, n_tokens long, n_head long, base double, within double, words array<binary>, times array<long>"
-    schema_names = [x.split()[0] for x in schema.split(", ")]
-    coded = texts.mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id())
-    coded = stage.write(coded, "coded")
-
-    model = initial(shares, c)
-    for _ in range(c.rounds if total else 0):
-        model = _round(coded.filter("teach").select("seq"), model, shares, c)
-    best = spark.sparkContext.broadcast(model)
+            seqs, own, kind = vocabulary.value.encode(doc_bytes(b.column("text")))
+            made = [pa.array(seqs, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.binary())), pa.array(kind, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "teach", "held_out")), *made], [x.split()[0] for x in CODED.split(", ")])
+
+    coded = stage.write(texts.mapInArrow(encode, CODED).withColumn("row", F.monotonically_increasing_id()), "coded")
+
+    model, learned = initial(shares, c), None
+    for round_ in range(c.rounds if total else 0):
+        last = round_ == c.rounds - 1
+        taught = coded.filter("teach").select("seq", "kinds", *(["words"] if last else []))
+        model, learned = _round(taught, model, shares, vocabulary, c, stage if last else None)
+    unknown = words.select("word", "c", F.lit(0).cast("long").alias("q")).limit(0) if learned is None else learned
+    states = range(c.states)
+    step = [F.shiftrightunsigned("q", 8 * s).bitwiseAND(F.lit(255)).cast("double") for s in states]
+    by_class = unknown.groupBy(_class(F.col("word"), c.classes).alias("k")).agg(*(F.sum(F.col("c") * step[s] / sum(step[1:], step[0])).alias(f"s{s}") for s in states))
+    share = np.full((c.classes, c.states), 1 / c.states)
+    for r in by_class.collect():  # `classes` rows
+        own = np.array([r[f"s{s}"] for s in states])
+        share[r["k"]] = own / own.sum()
+    by = Classes(model.emit[head : head + c.classes], share, sums, kinds)
+    table = _common_emissions(unknown.filter(F.floor(F.log2("c") * 64) >= level), top, head, count_of, by, model)
+    common = spark.sparkContext.broadcast((model, table, by, gain, known.end))
+    base_unit = float(np.log10(total + different + 1))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some, seqs in gather(batches, c.together):
-            p, at = likelihood(best.value, seqs, c), 0
-            for b in some:
-                own, at = p[at : at + b.num_rows], at + b.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(n) for n in names), pa.array(own + b.column("within").to_numpy())], [*names, "score"]
-                )
-
-    names = ["doc_id", "held_out", "row", "n_tokens", "n_head", "base"]
-    judged = coded.select(*names, "within", "seq").mapInArrow(
-        judge, "doc_id long, held_out boolean, row long, n_tokens long, n_head long, base double, score double"
-    )
-    rare = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").cast("string").alias("word"), F.col("x.times").alias("times"))
-    found = rare.join(tail, "word").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("gain"))
-    gain = F.coalesce("gain", F.lit(0.0))
-    base = F.col("base") + gain
-    return judged.join(found, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (F.col("score") + gain if total else base).alias("score"),
+        model, table, by, gain, end = common.value
+        for b in gather(batches, c.together // 2):
+            (tokens, at), (kind, own) = _lists(b.column("seq")), _lists(b.column("kinds"))
+            found = b.column("found")
+            rows, values = found.offsets.to_numpy(), found.values
+            k, n, q = (values.field(x).to_numpy()[rows[0] : rows[-1]] for x in range(3))
+            count, packed = np.zeros(len(kind)), np.zeros(len(kind), np.int64)
+            place = np.repeat(own[:-1], np.diff(rows)) + k
+            count[place], packed[place] = n, q
+            where, which = _uncommon(tokens, at, own)
+            seqs = tokens.copy()
+            seqs[where] = len(table) + which
+            gains = gain[np.where(tokens < 0, 0, tokens)]
+            gains[where] = np.log10(count[which] + 1)
+            seen = np.ones(len(tokens), np.int64)
+            seen[where] = count[which] > 0
+            seen[tokens == end] = ends > 0
+            whole = Model(model.first, model.move, np.concatenate([table, by.emissions(kind, count, packed)]))
+            length = np.diff(at)
+            base = np.add.reduceat(gains, at[:-1]) - base_unit * length
+            p = likelihood(whole, _split(seqs, at), c) if total else base
+            made = [pa.array(length.astype(np.int64)), pa.array(np.add.reduceat(seen, at[:-1])), pa.array(np.full(b.num_rows, total)), pa.array(base), pa.array(p)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    rest = unknown.filter(F.floor(F.log2("c") * 64) < level).select("word", "c", "q")
+    asked = coded.select("row", F.posexplode("words").alias("k", "word"))
+    found = asked.join(rest, "word").groupBy("row").agg(F.collect_list(F.struct("k", "c", "q")).alias("found"))
+    none = F.array().cast("array<struct<k:int,c:bigint,q:bigint>>")
+    return (
+        coded.select("row", "doc_id", "held_out", "seq", "kinds")
+        .join(found, "row", "left")
+        .select("doc_id", "held_out", "seq", "kinds", F.coalesce("found", none).alias("found"))
+        .mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
 
 
-def _round(seqs: DataFrame, model: Model, shares: np.ndarray, c: Config) -> Model:
-    """One pass of Baum-Welch. Tasks send (symbol, expected count by state); two negative symbols hold the rest."""
-    m = seqs.sparkSession.sparkContext.broadcast(model)
-    k = c.states
+def _common_emissions(rows: DataFrame, top: list[bytes], head: int, count_of: dict[bytes, int], by: Classes, model: Model) -> np.ndarray:
+    """Emissions of the common words by rank, then the end's."""
+    found = rows.select("word", "q").toArrow()  # at most `common` rows
+    packed = dict(zip(found["word"].to_pylist(), found["q"].to_pylist(), strict=True))
+    kind = np.array([class_of(w, len(by.emit)) for w in top[head:]], np.int64)
+    count, q = (np.array([x[w] if w in x else 0 for w in top[head:]], np.int64) for x in (count_of, packed))
+    return np.concatenate([model.emit[:head], by.emissions(kind, count.astype(float), q), model.emit[-1:]])
+
+
+def _round(taught: DataFrame, model: Model, shares: np.ndarray, vocabulary, c: Config, stage: Stage | None) -> tuple[Model, DataFrame | None]:
+    """One pass of Baum-Welch. Tasks send (symbol, expected count by state); negative symbols hold the rest. With a stage,
+    they send (word, its count, expected count by state) of the words beyond the head too; their table is written and
+    returned as word, c, q."""
+    m = taught.sparkSession.sparkContext.broadcast(model)
+    k, symbols, by_word = c.states, len(model.emit), stage is not None
+    names = ["symbol", "word", "n", *(f"s{s}" for s in range(k))]
+
+    def sent(symbol, word, n, rows: np.ndarray) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([*map(pa.array, (symbol, word, n), kinds), *(pa.array(rows[:, s]) for s in range(k))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, move, emit, any_ = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.value.emit), False
-        for _, seqs in gather(batches, c.together):
-            f, a, e, _ = expect(m.value, seqs, c)
+        v, model = vocabulary.value, m.value
+        first, move, emit, any_ = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), False
+        for b in gather(batches, c.together):
+            (tokens, at), (kind, own) = _lists(b.column("seq")), _lists(b.column("kinds"))
+            where, which = _uncommon(tokens, at, own)
+            seqs = v.symbol[np.where(tokens < 0, 0, tokens)]
+            seqs[where] = v.head + kind[which]
+            if not by_word:
+                f, a, e = expect(model, _split(seqs, at), c)
+            else:
+                apart: dict[bytes, int] = {}
+                local = np.array([apart.setdefault(w, len(apart)) for x in b.column("words").to_pylist() for w in x], np.int32)
+                beyond = np.flatnonzero((seqs >= v.head) & (tokens != v.end) & (tokens >= 0))
+                ranks, place = np.unique(tokens[beyond], return_inverse=True)
+                seqs[where] = symbols + local[which]
+                own_kind = np.zeros(len(apart), np.int64)
+                own_kind[local] = kind
+                of = np.concatenate([v.head + own_kind, v.symbol[ranks]])
+                seqs[beyond] = symbols + len(apart) + place
+                wide = Model(model.first, model.move, np.concatenate([model.emit, model.emit[of]]))
+                f, a, e = expect(wide, _split(seqs, at), c)
+                e, each = e[:symbols].copy(), e[symbols:]
+                np.add.at(e, of, each)
+                n = np.bincount(seqs, minlength=symbols + len(of))[symbols:]
+                words = [*apart, *(v.words[r] for r in ranks.tolist())]
+                for x in range(0, len(words), 50_000):
+                    y = slice(x, x + 50_000)
+                    yield sent([None] * len(words[y]), words[y], n[y], each[y].astype(np.float32).astype(np.float64))
             first, move, emit, any_ = first + f, move + a, emit + e, True
         if any_:
             used = np.flatnonzero(emit.any(axis=1))
-            rows = np.concatenate([first[None], move, emit[used]])
             symbol = np.concatenate([-1 - np.arange(k + 1), used])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(symbol, pa.int64()), *(pa.array(rows[:, s]) for s in range(k))], ["symbol", *(f"s{s}" for s in range(k))]
-            )
-
-    sent = seqs.mapInArrow(run, "symbol long, " + ", ".join(f"s{s} double" for s in range(k)))
-    summed = sent.groupBy("symbol").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toArrow()  # symbols + states rows
+            nothing = [None] * len(symbol)
+            yield sent(symbol, nothing, nothing, np.concatenate([first[None], move, emit[used]]))
+
+    kinds = "symbol long, word binary, n long, " + ", ".join(f"s{s} double" for s in range(k))
+    sums = taught.mapInArrow(run, kinds).groupBy("symbol", "word").agg(F.sum("n").alias("n"), *(F.sum(f"s{s}").alias(f"s{s}") for s in range(k)))
+    learned = None
+    if by_word:
+        packed = F.when(F.col("symbol").isNull(), pack([F.col(f"s{s}") for s in range(k)]))
+        parts = [F.when(F.col("symbol").isNotNull(), F.col(f"s{s}")).alias(f"s{s}") for s in range(k)]
+        sums = stage.write(sums.select("symbol", "word", F.col("n").alias("c"), packed.alias("q"), *parts), "learned")
+        learned = sums.filter("symbol IS NULL").select("word", "c", "q")
+    summed = sums.filter("symbol IS NOT NULL").select("symbol", *(f"s{s}" for s in range(k))).toArrow()  # symbols + states rows
     symbol = summed["symbol"].to_numpy()
     values = np.stack([summed[f"s{s}"].to_numpy() for s in range(k)], axis=1)
-    order = np.argsort(symbol)
-    symbol, values = symbol[order], values[order]
     emit = np.zeros_like(model.emit)
     emit[symbol[symbol >= 0]] = values[symbol >= 0]
     rest = {int(s): v for s, v in zip(symbol, values, strict=True) if s < 0}
-    return improve(rest[-1], np.stack([rest[-2 - s] for s in range(k)]), emit, shares, c)
+    return improve(rest[-1], np.stack([rest[-2 - s] for s in range(k)]), emit, shares, c), learned
