@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -245,11 +245,11 @@ class Classes:
         return self.emit[kind] * (own / np.maximum(self.share[kind], 1e-300) + 1) / (self.tokens + self.kinds + 1)[kind][:, None]
 
 
-def pack(counts: list[Column]) -> Column:
-    """A word's expected counts by state as their distribution: a byte for each state, from 1 to LEVELS."""
-    total = sum(counts[1:], counts[0])
-    steps = [F.round((LEVELS - 1) * F.coalesce(x / F.nullif(total, F.lit(0.0)), F.lit(0.0))).cast("long") + 1 for x in counts]
-    return sum((F.shiftleft(x, 8 * s) for s, x in enumerate(steps[1:], 1)), steps[0])
+def pack(counts: np.ndarray) -> np.ndarray:
+    """Words' expected counts by state as their distributions: a byte for each state, from 1 to LEVELS."""
+    steps = np.zeros((len(counts), 8), np.uint8)
+    steps[:, : counts.shape[1]] = np.round((LEVELS - 1) * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)) + 1
+    return steps.view("<i8").ravel().astype(np.int64)
 
 
 def _class(word: Column, classes: int) -> Column:
@@ -390,14 +390,14 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table, by, gain, end = common.value
-        for b in gather(batches, c.together // 2):
-            (tokens, at), (kind, own) = _lists(b.column("seq")), _lists(b.column("kinds"))
-            found = b.column("found")
-            rows, values = found.offsets.to_numpy(), found.values
-            k, n, q = (values.field(x).to_numpy()[rows[0] : rows[-1]] for x in range(3))
+        for t in _documents(batches, c.together // 2):
+            k = t.column("k").to_numpy()
+            text = k < 0
+            docs = t.filter(pa.array(text)).combine_chunks().to_batches()[0]
+            (tokens, at), (kind, own) = _lists(docs.column("seq")), _lists(docs.column("kinds"))
             count, packed = np.zeros(len(kind)), np.zeros(len(kind), np.int64)
-            place = np.repeat(own[:-1], np.diff(rows)) + k
-            count[place], packed[place] = n, q
+            place = (np.repeat(own[:-1], np.diff(np.append(np.flatnonzero(text), len(k)))) + k)[~text]
+            count[place], packed[place] = (t.column(x).to_numpy()[~text] for x in ("c", "q"))
             where, which = _uncommon(tokens, at, own)
             seqs = tokens.copy()
             seqs[where] = len(table) + which
@@ -410,19 +410,34 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
             length = np.diff(at)
             base = np.add.reduceat(gains, at[:-1]) - base_unit * length
             p = likelihood(whole, _split(seqs, at), c) if total else base
-            made = [pa.array(length.astype(np.int64)), pa.array(np.add.reduceat(seen, at[:-1])), pa.array(np.full(b.num_rows, total)), pa.array(base), pa.array(p)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            made = [pa.array(length.astype(np.int64)), pa.array(np.add.reduceat(seen, at[:-1])), pa.array(np.full(docs.num_rows, total)), pa.array(base), pa.array(p)]
+            yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rest = unknown.filter(F.floor(F.log2("c") * 64) < level).select("word", "c", "q")
     asked = coded.select("row", F.posexplode("words").alias("k", "word"))
-    found = asked.join(rest, "word").groupBy("row").agg(F.collect_list(F.struct("k", "c", "q")).alias("found"))
-    none = F.array().cast("array<struct<k:int,c:bigint,q:bigint>>")
-    return (
-        coded.select("row", "doc_id", "held_out", "seq", "kinds")
-        .join(found, "row", "left")
-        .select("doc_id", "held_out", "seq", "kinds", F.coalesce("found", none).alias("found"))
-        .mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    )
+    found = asked.join(rest, "word").select("row", "k", "c", "q")
+    zero = F.lit(0).cast("long")
+    whole = coded.select("row", F.lit(-1).alias("k"), zero.alias("c"), zero.alias("q"), "doc_id", "held_out", "seq", "kinds")
+    whole = whole.unionByName(found, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", "k").drop("row")
+    return whole.mapInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _documents(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows of whole documents, each one's text (k = -1) before its words, together of up to `most` tokens."""
+    some, size = [], 0
+    for b in batches:
+        some.append(b)
+        offsets = b.column("seq").offsets.to_numpy()
+        size += int(offsets[-1] - offsets[0])
+        if size >= most:
+            t = pa.Table.from_batches(some)
+            last = int(np.flatnonzero(t.column("k").to_numpy() < 0)[-1])  # its words may go on in the next batch
+            if last:
+                yield t.slice(0, last)
+            some = t.slice(last).combine_chunks().to_batches()
+            size = len(some[0].column("seq")[0])
+    if some and (t := pa.Table.from_batches(some)).num_rows:
+        yield t
 
 
 def _common_emissions(rows: DataFrame, top: list[bytes], head: int, count_of: dict[bytes, int], by: Classes, model: Model) -> np.ndarray:
@@ -440,60 +455,137 @@ def _round(taught: DataFrame, model: Model, shares: np.ndarray, vocabulary, c: C
     returned as word, c, q."""
     m = taught.sparkSession.sparkContext.broadcast(model)
     k, symbols, by_word = c.states, len(model.emit), stage is not None
-    names = ["symbol", "word", "n", *(f"s{s}" for s in range(k))]
-
-    def sent(symbol, word, n, rows: np.ndarray) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([*map(pa.array, (symbol, word, n), kinds), *(pa.array(rows[:, s]) for s in range(k))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model = vocabulary.value, m.value
         first, move, emit, any_ = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), False
-        for b in gather(batches, c.together):
-            (tokens, at), (kind, own) = _lists(b.column("seq")), _lists(b.column("kinds"))
-            where, which = _uncommon(tokens, at, own)
+        own = _Own(k, v)
+        for b in gather(batches, c.together // (2 if by_word else 1)):
+            (tokens, at), (kind, rows) = _lists(b.column("seq")), _lists(b.column("kinds"))
+            where, which = _uncommon(tokens, at, rows)
             seqs = v.symbol[np.where(tokens < 0, 0, tokens)]
             seqs[where] = v.head + kind[which]
-            if not by_word:
-                f, a, e = expect(model, _split(seqs, at), c)
-            else:
-                apart: dict[bytes, int] = {}
-                local = np.array([apart.setdefault(w, len(apart)) for x in b.column("words").to_pylist() for w in x], np.int32)
-                beyond = np.flatnonzero((seqs >= v.head) & (tokens != v.end) & (tokens >= 0))
-                ranks, place = np.unique(tokens[beyond], return_inverse=True)
-                seqs[where] = symbols + local[which]
-                own_kind = np.zeros(len(apart), np.int64)
-                own_kind[local] = kind
-                of = np.concatenate([v.head + own_kind, v.symbol[ranks]])
-                seqs[beyond] = symbols + len(apart) + place
-                wide = Model(model.first, model.move, np.concatenate([model.emit, model.emit[of]]))
-                f, a, e = expect(wide, _split(seqs, at), c)
+            if by_word:
+                beyond = np.flatnonzero((seqs >= v.head) & (tokens != v.end))
+                used, place = own.places(tokens[beyond], tokens[beyond] < 0, which, b.column("words"))
+                of = np.zeros(len(used), np.int64)
+                of[place] = seqs[beyond]
+                seqs[beyond] = symbols + place
+                f, a, e = expect(Model(model.first, model.move, np.concatenate([model.emit, model.emit[of]])), _split(seqs, at), c)
                 e, each = e[:symbols].copy(), e[symbols:]
                 np.add.at(e, of, each)
-                n = np.bincount(seqs, minlength=symbols + len(of))[symbols:]
-                words = [*apart, *(v.words[r] for r in ranks.tolist())]
-                for x in range(0, len(words), 50_000):
-                    y = slice(x, x + 50_000)
-                    yield sent([None] * len(words[y]), words[y], n[y], each[y].astype(np.float32).astype(np.float64))
+                own.add(used, np.bincount(place, minlength=len(used)), each)
+                if len(own.ids) > c.flush:
+                    yield from own.take()
+            else:
+                f, a, e = expect(model, _split(seqs, at), c)
             first, move, emit, any_ = first + f, move + a, emit + e, True
         if any_:
+            yield from own.take()
             used = np.flatnonzero(emit.any(axis=1))
-            symbol = np.concatenate([-1 - np.arange(k + 1), used])
-            nothing = [None] * len(symbol)
-            yield sent(symbol, nothing, nothing, np.concatenate([first[None], move, emit[used]]))
+            rows = np.concatenate([first[None], move, emit[used]])
+            yield _sent(np.concatenate([-1 - np.arange(k + 1), used]), None, rows)
 
-    kinds = "symbol long, word binary, n long, " + ", ".join(f"s{s} double" for s in range(k))
-    sums = taught.mapInArrow(run, kinds).groupBy("symbol", "word").agg(F.sum("n").alias("n"), *(F.sum(f"s{s}").alias(f"s{s}") for s in range(k)))
-    learned = None
+    sent = taught.mapInArrow(run, SENT)
     if by_word:
-        packed = F.when(F.col("symbol").isNull(), pack([F.col(f"s{s}") for s in range(k)]))
-        parts = [F.when(F.col("symbol").isNotNull(), F.col(f"s{s}")).alias(f"s{s}") for s in range(k)]
-        sums = stage.write(sums.select("symbol", "word", F.col("n").alias("c"), packed.alias("q"), *parts), "learned")
-        learned = sums.filter("symbol IS NULL").select("word", "c", "q")
-    summed = sums.filter("symbol IS NOT NULL").select("symbol", *(f"s{s}" for s in range(k))).toArrow()  # symbols + states rows
+        sums = sent.repartition("symbol", "word").sortWithinPartitions("symbol", "word").mapInArrow(_summed(k), "symbol long, word binary, c long, q long, v binary")
+        sums = stage.write(sums, "learned")
+    else:
+        sums = sent
+    parts = sums.filter("symbol IS NOT NULL")
+    if not by_word:
+        parts = parts.repartition("symbol").sortWithinPartitions("symbol").mapInArrow(_summed(k), "symbol long, word binary, c long, q long, v binary")
+    summed = parts.select("symbol", "v").toArrow()  # symbols + states rows
     symbol = summed["symbol"].to_numpy()
-    values = np.stack([summed[f"s{s}"].to_numpy() for s in range(k)], axis=1)
+    values = np.frombuffer(b"".join(summed["v"].to_pylist())).reshape(-1, k)
     emit = np.zeros_like(model.emit)
     emit[symbol[symbol >= 0]] = values[symbol >= 0]
     rest = {int(s): v for s, v in zip(symbol, values, strict=True) if s < 0}
+    learned = sums.filter("symbol IS NULL").select("word", "c", "q") if by_word else None
     return improve(rest[-1], np.stack([rest[-2 - s] for s in range(k)]), emit, shares, c), learned
+
+
+SENT = "symbol long, word binary, v binary"
+"""v: 64-bit expected counts by state of a symbol; or a word's count and then its expected counts."""
+
+
+def _sent(symbol: np.ndarray | None, word: list[bytes] | None, rows: np.ndarray) -> pa.RecordBatch:
+    rows = np.ascontiguousarray(rows, np.float64)
+    size = rows.shape[1] * 8
+    v = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, size * (len(rows) + 1), size, dtype=np.int32)), pa.py_buffer(rows)])
+    none = [None] * len(rows)
+    return pa.RecordBatch.from_arrays([pa.array(none if symbol is None else symbol, pa.int64()), pa.array(none if word is None else word, pa.binary()), v], ["symbol", "word", "v"])
+
+
+class _Own:
+    """A task's counts and expected counts of the words beyond the head."""
+
+    def __init__(self, states: int, v: Vocabulary) -> None:
+        self.states, self.v = states, v
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.rank_ids = np.full(len(self.v.words) + 1, -1, np.int32)
+        self.sums = np.zeros((0, self.states + 1))
+
+    def places(self, tokens: np.ndarray, uncommon: np.ndarray, which: np.ndarray, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that occur, each once, and for each token the place of its id among them."""
+        ids, get = np.empty(len(tokens), np.int32), self.ids
+        of = np.array([get.setdefault(w, len(get)) for x in words.to_pylist() for w in x], np.int32)
+        ids[uncommon] = of[which]
+        ranks = np.unique(tokens[~uncommon])
+        for r in ranks[self.rank_ids[ranks] < 0].tolist():
+            self.rank_ids[r] = get.setdefault(self.v.words[r], len(get))
+        ids[~uncommon] = self.rank_ids[tokens[~uncommon]]
+        return np.unique(ids, return_inverse=True)
+
+    def add(self, used: np.ndarray, count: np.ndarray, expected: np.ndarray) -> None:
+        if len(self.sums) < len(self.ids):
+            self.sums = np.concatenate([self.sums, np.zeros((len(self.ids) - len(self.sums), self.states + 1))])
+        self.sums[used, 0] += count
+        self.sums[used, 1:] += expected
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        words = list(self.ids)
+        for x in range(0, len(words), 20_000):
+            yield _sent(None, words[x : x + 20_000], self.sums[x : x + 20_000])
+        self.clear()
+
+
+def _summed(states: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of rows that are sorted by symbol and word: symbols with v, words with c and q. One key's sum is held, whatever
+    the number of its rows."""
+
+    def out(symbol, word, rows: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(rows), pa.int64())
+        if word is None:
+            columns = [symbol, pa.nulls(len(rows), pa.binary()), none, none, _sent(None, None, rows).column("v")]
+        else:
+            columns = [none, word, pa.array(np.rint(rows[:, 0]).astype(np.int64)), pa.array(pack(rows[:, 1:])), pa.nulls(len(rows), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["symbol", "word", "c", "q", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # key column of one row, sums, whether it is a word
+        for b in batches:
+            words = b.column("symbol").is_null().to_numpy(zero_copy_only=False)
+            for is_word in (True, False):  # nulls come first
+                part = b.filter(pa.array(words == is_word))
+                if not part.num_rows:
+                    continue
+                key = part.column("word" if is_word else "symbol")
+                rows = np.frombuffer(b"".join(part.column("v").to_pylist())).reshape(-1, states + is_word)
+                if held is not None and held[2] == is_word:
+                    key, rows = pa.concat_arrays([held[0], key]), np.concatenate([held[1], rows])
+                elif held is not None:
+                    yield out(*((None, held[0]) if held[2] else (held[0], None)), held[1])
+                code = key.dictionary_encode().indices.to_numpy()
+                starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+                sums, keys = np.add.reduceat(rows, starts), key.take(pa.array(starts))
+                held = (keys.slice(len(keys) - 1), sums[-1:], is_word)
+                if len(sums) > 1:
+                    yield out(*((None, keys[:-1]) if is_word else (keys[:-1], None)), sums[:-1])
+        if held is not None:
+            yield out(*((None, held[0]) if held[2] else (held[0], None)), held[1])
+
+    return run
