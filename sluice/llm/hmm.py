@@ -57,7 +57,7 @@ class Config:
     smooth: float = 0.1
     cells: int = 300_000
     block: int = 2048
-    together: int = 4_000_000
+    together: int = 2_500_000
     flush: int = 300_000
     every: int = 8
     seed: int = 4
@@ -293,17 +293,22 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Batches together of up to `most` tokens: long sequences then share their steps."""
-    some, size = [], 0
+    """The rows of the batches, together of up to `most` tokens or one row: long sequences then share their steps."""
+    some, room = [], most
     for b in batches:
-        some.append(b)
-        offsets = b.column("seq").offsets.to_numpy()
-        size += int(offsets[-1] - offsets[0])
-        if size >= most:
-            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
-            some, size = [], 0
-    if some and (whole := pa.Table.from_batches(some).combine_chunks().to_batches()):
-        yield whole[0]
+        at, offsets = 0, b.column("seq").offsets.to_numpy()
+        while at < b.num_rows:
+            end = int(np.searchsorted(offsets, offsets[at] + room, side="right")) - 1
+            end = max(end, at + (not some))
+            if end > at:
+                some.append(b.slice(at, end - at))
+                room -= int(offsets[end] - offsets[at])
+                at = end
+            if at < b.num_rows or room <= 0:
+                yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+                some, room = [], most
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
 def _split(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
