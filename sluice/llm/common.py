@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
 """Bytes hashed at once; a longer run without white space is hashed whole."""
@@ -31,27 +34,78 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='sluice-')}")
+
+
+_local: dict[str, str] = {}
+_stages: list[Stage] = []
 
 
 class Stage:
-    """Tables of one run in the shared folder; they cut lineage, and survive a lost executor."""
+    """Tables of one run in the shared folder; they cut lineage, and survive a lost executor. They stay while a result may
+    still be read from them: until `drop`, `release`, or the end of the driver's process."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not _stages:
+            atexit.register(release)
+        _stages.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def drop(self, name: str = "") -> None:
+        """Deletes a table, or all of them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mark() -> int:
+    """A place in the order in which stages began, for `release`."""
+    return len(_stages)
+
+
+def release(since: int = 0, until: int | None = None) -> None:
+    """Deletes the tables of the stages that began from one mark to another: what was made of them is written elsewhere, or
+    the process ends. A session that has ended leaves its tables to whoever owns the folder."""
+    gone, _stages[since:until] = _stages[since:until], []
+    for s in gone:
+        with contextlib.suppress(Exception):
+            s.drop()
+
+
+class Opened:
+    """A table's columns under names of our own, so that no name that an operator makes, and no two names that differ by
+    case alone, can clash. `replaced` columns, in any case, are left out. texts: columns that the operator reads, found by
+    exact name first, then without regard to case."""
+
+    def __init__(self, docs: DataFrame, replaced: Iterable[str] = ()) -> None:
+        gone = {x.lower() for x in replaced}
+        self.fields = docs.schema.fields
+        self.rows = docs.toDF(*[f"c{k}" for k in range(len(self.fields))])
+        self.keep = [k for k, f in enumerate(self.fields) if f.name.lower() not in gone]
+        self.names = [f"c{k}" for k in self.keep]
+
+    def place(self, name: str) -> str:
+        """Our name of a column of the table."""
+        found = [k for k, f in enumerate(self.fields) if f.name == name] or [k for k, f in enumerate(self.fields) if f.name.lower() == name.lower()]
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} columns are named {name}")
+        return f"c{found[0]}"
+
+    def column(self, name: str) -> Column:
+        return F.col(self.place(name))
+
+    def schema(self, *added: T.StructField) -> T.StructType:
+        return T.StructType([*(T.StructField(f"c{k}", self.fields[k].dataType) for k in self.keep), *added])
+
+    def closed(self, rows: DataFrame, *added: str) -> DataFrame:
+        """rows (the kept columns, then others) under the table's own names."""
+        return rows.toDF(*(self.fields[k].name for k in self.keep), *added)
+
+
 def fold(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as fold -1, which no split holds out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(-1))

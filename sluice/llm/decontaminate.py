@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Stage, split_batches
+from .common import Opened, Stage, split_batches
 
 SCHEMA = "doc_id long, item_id long, distance int, start int, end int"
 
@@ -181,15 +181,16 @@ def matches(docs: DataFrame, items: DataFrame, error: float = 0.05, block_signs:
 
 def remove(docs: DataFrame, items: DataFrame, error: float = 0.05, block_signs: int = 2_000_000) -> DataFrame:
     """docs, all columns, without those that hold an item. No join: each block of items filters in a scan."""
-    names, raw = docs.columns, "__raw"
+    t = Opened(docs)
+    rows, names = t.rows, t.names
     for block in blocks(items, block_signs):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m = matcher(sent.value, error)
             for b in split_batches(batches):
-                clean = pa.array([not m.find(normalise(t)) for t in b.column(raw).to_pylist()], pa.bool_())
+                clean = pa.array([not m.find(normalise(t)) for t in b.column("raw").to_pylist()], pa.bool_())
                 yield b.filter(clean).select(names)
 
-        docs = docs.select(*names, docs["text"].alias(raw)).mapInArrow(run, docs.schema)
-    return docs
+        rows = rows.select(*names, t.column("text").alias("raw")).mapInArrow(run, t.schema())
+    return t.closed(rows)

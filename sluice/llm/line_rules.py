@@ -13,7 +13,7 @@ Failing lines are removed; lines without a word stay. A text is rejected if the
 
 Null: no words, cleaned is null, base_failed. Empty text: the same with an empty cleaned text. Texts of any length
 are read whole. Repeated rows are judged alike; an empty table gives an empty result. Other columns pass through; a
-column named like one of this operator's is replaced.
+column named like one of this operator's, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import split_batches, windows, words
+from .common import Opened, split_batches, windows, words
 
 SYMBOLS = b"#*$%&|<>"
 TERMINAL = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", b"\xe2\x80\xa6", b"\xe2\x80\x9d", b"\xc2\xbb", b"\xe3\x80\x82")
+"""Ends of sentences and quotations, in ASCII and of U+2026, U+201D, U+00BB and U+3002; other scripts' marks do not count."""
 BOILERPLATE = re.compile(
     rb"all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings|consent)|accept (?:all )?cookies"
     rb"|copyright (?:\(c\)|\xc2\xa9|[0-9]{4})|(?:licensed|released) under|subscribe to our newsletter|enable javascript",
@@ -134,15 +134,15 @@ _ARROW = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64(), pa.bin
 
 def clean(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """docs with the columns of OUT."""
-    keep = [f for f in docs.schema.fields if f.name not in OUT]
-    names, raw = [f.name for f in keep], "__raw"
+    t = Opened(docs, OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in split_batches(batches):
-            found = list(zip(*(judge(t, config) for t in b.column(raw).to_pylist()), strict=True))
+            found = list(zip(*(judge(t, config) for t in b.column("raw").to_pylist()), strict=True))
             made = [pa.array(v, kind) for v, kind in zip(found, _ARROW, strict=True)]
             made[-1] = made[-1].cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], [*names, *OUT])
 
-    schema = T.StructType([*keep, *(T.StructField(n, t) for n, t in OUT.items())])
-    return docs.select(*names, F.col("text").cast("binary").alias(raw)).mapInArrow(run, schema)
+    names = t.names
+    schema = t.schema(*(T.StructField(n, k) for n, k in OUT.items()))
+    return t.closed(t.rows.select(*names, t.column("text").cast("binary").alias("raw")).mapInArrow(run, schema), *OUT)

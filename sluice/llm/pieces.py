@@ -12,7 +12,7 @@ per word of the corpus, several times the bytes of the texts.
 
 Null and empty texts have the end id only and decode to the empty text. Texts of any length are encoded whole.
 Repeated rows are encoded alike; an empty table gives an empty result. Other columns pass through; a column named
-ids or decoded is replaced.
+ids or decoded, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import split_batches
+from .common import Opened, split_batches
 
 MARK = "▁"
 _NO_PREFIX = b"\x1a\x02\x18\x00"
@@ -124,24 +124,27 @@ def codec(model: bytes, *options: int) -> Codec:
     return _codecs[key]
 
 
+ADDED = ("ids", "decoded")
+
+
 def encode(docs: DataFrame, model_path: str, table_size: int = 400_000, longest: int = 100) -> DataFrame:
     """docs with ids (array of int, the end id last) and decoded (text). model_path: a file on the driver."""
     with open(model_path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary: fixed size
-    keep = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
-    names, raw = [f.name for f in keep], "__raw"
+    t = Opened(docs, ADDED)
+    names = t.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value, table_size, longest)
         for b in split_batches(batches, 256, 2 << 20):
-            flat = c.encode([x or "" for x in b.column(raw).to_pylist()])
+            flat = c.encode([x or "" for x in b.column("raw").to_pylist()])
             offsets = np.zeros(len(flat) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in flat], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), np.int32)))
             decoded = c.decode([np.frombuffer(x, np.int32) for x in flat])
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(n) for n in names), ids, pa.array(decoded, pa.string())], [*names, "ids", "decoded"]
+                [*(b.column(n) for n in names), ids, pa.array(decoded, pa.string())], [*names, *ADDED]
             )
 
-    schema = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.select(*names, docs["text"].alias(raw)).mapInArrow(run, schema)
+    schema = t.schema(T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()))
+    return t.closed(t.rows.select(*names, t.column("text").alias("raw")).mapInArrow(run, schema), *ADDED)
