@@ -91,8 +91,8 @@ def allocate(ts: np.ndarray, te: np.ndarray, ss: np.ndarray, se: np.ndarray, rul
         own = b <= se[section]
     else:
         own, part = ~crossing, np.flatnonzero(crossing)
-        for i in part[np.lexsort((part, -inside[part], token[part]))]:  # most of it first, of equals the earliest
-            own[i] = not own[part[token[part] == token[i]]].any()
+        part = part[np.lexsort((part, -inside[part], token[part]))]  # a token's most of it first, of equals the earliest
+        own[part[np.append(True, token[part[1:]] != token[part[:-1]])[: len(part)]]] = True
     n = len(ss)
     return (
         np.bincount(section[own], minlength=n),
