@@ -18,8 +18,8 @@ def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Stage(spark, "warc").path
     warc.write(table(spark, sf_dir, "pages"), path)
-    size = F.when(F.length("record") > 0, F.col("payload_bytes")).alias("payload_bytes")  # every record is rebuilt
-    return warc.read(spark, path).select("page_id", size, "payload_digest", "record_type", "refers_to")
+    warc.export(warc.read(spark, path), f"{path}/warc")  # every record is rebuilt
+    return warc.pages(warc.parse(spark, f"{path}/warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ An archive is two tables in a folder:
   payloads  key (SHA-256 of the bytes), payload: the bytes of every different payload, once
   records   key and the exact header bytes of every record: WARC header, blank line, HTTP header, blank line
 Reading joins them on the key. A payload whose SHA-256 is not its key, or a record without its payload, fails the
-read; so does a rebuilt record whose content is not as long as its header says. Digest and length of a payload are computed once for each stored payload, below the join; a plan that does not
-ask for payload or record bytes does not move them. Records of one payload may be a large part of all rows: storing
-combines them before the shuffle, and reading is a plain equi-join whose skewed partitions Spark splits.
+read; so does a rebuilt record whose content is not as long as its header says. Digest and length of a payload are
+computed once for each stored payload, below the join; a plan that does not ask for payload or record bytes does not
+move them. Records of one payload may be a large part of all rows: storing combines them before the shuffle, and reading
+is a plain equi-join whose skewed partitions Spark splits.
 
 Of records with equal payloads of at least `least` bytes, the one with the largest page_id is the response and the
 others revisit it (identical-payload-digest); smaller payloads are responses all. Rows that repeat the largest
@@ -15,11 +16,14 @@ page_id or url leaves its header field out; a null page_id is a response only if
 feeds, carriage returns and other white space in a url are percent-encoded. An empty table gives an empty archive.
 Other columns are not archived.
 
-`export` writes the records as plain .warc files, and `parse` reads such files.
+`export` writes the rebuilt records as .warc.gz files, `parse` reads such files, and `pages` says of each record in them
+what page it is, after its bytes have been held against the digest and the lengths that its headers state.
 """
 
 from __future__ import annotations
 
+import gzip
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -120,10 +124,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export(records: DataFrame, path: str) -> None:
-    """Writes `record` bytes as .warc files (part files of plain WARC) under `path`. Spark's text sink writes a string's
-    bytes as they are, and its line separator is what closes a record."""
+    """Writes `record` bytes as gzipped .warc files (part files) under `path`. Spark's text sink writes a string's bytes as
+    they are, and its line separator is what closes a record."""
     body = F.substring("record", F.lit(1), F.length("record") - 4)
-    records.select(body.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    records.select(body.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def split(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -140,13 +144,44 @@ def split(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def parse(spark: SparkSession, path: str) -> DataFrame:
-    """header and content of every record in the .warc files under `path`; one file at a time is in memory."""
+    """header and content of every record in the .warc files under `path`, gzipped or plain; one file at a time is in
+    memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column("content").to_pylist():
-                if found := list(split(data)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["header", "content"])
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
+                for some in itertools.batched(split(data), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*some, strict=True)], ["header", "content"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(run, "header binary, content binary")
+
+
+def pages(parsed: DataFrame) -> DataFrame:
+    """Every record of .warc files, from its bytes alone: page_id, record_type, refers_to, url, payload_digest and
+    payload_bytes (of the full payload, a revisit's too). A response whose payload has not the digest that it states fails
+    the query; so does a record whose HTTP header states another length than its payload, or the payload that it revisits,
+    has."""
+    head, content = F.col("header"), F.col("content")
+    block = F.octet_length(F.substring_index(content.cast("string"), "\r\n\r\n", 1)) + 4
+    payload = F.substring(content, block + 1, F.length(content) - block)
+    stated = F.regexp_extract(F.substring(content, F.lit(1), block).cast("string"), r"Content-Length: (\d+)\r\n", 1).try_cast("long")
+    rows = parsed.select(
+        _page(field(head, "WARC-Record-ID")).alias("page_id"),
+        field(head, "WARC-Type").alias("record_type"),
+        _page(field(head, "WARC-Refers-To")).alias("refers_to"),
+        field(head, "WARC-Target-URI").alias("url"),
+        F.substring_index(field(head, "WARC-Payload-Digest"), ":", -1).alias("payload_digest"),
+        stated.alias("payload_bytes"),
+        F.length(payload).cast("long").alias("held"),
+        F.sha1(payload).alias("sha1"),
+    )
+    whole = (F.col("record_type") == "revisit") | (F.col("sha1") == F.col("payload_digest")) & (F.col("held") == F.col("payload_bytes"))
+    checked = F.when(F.coalesce(whole, F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a record's payload is not what its header states")).cast("long"))
+    rows = rows.withColumn("payload_bytes", checked)
+    own = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("there"))
+    good = (F.col("record_type") == "response") | (F.col("there") == F.col("payload_bytes"))
+    size = F.when(F.coalesce(good, F.lit(False)), F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a revisit refers to no such response")).cast("long"))
+    return rows.join(own, ["refers_to", "payload_digest"], "left").select("page_id", "record_type", "refers_to", "url", "payload_digest", size.alias("payload_bytes"))
