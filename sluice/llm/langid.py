@@ -1,18 +1,21 @@
-"""Operator 8, language ID: averaged hashed subword embeddings under a linear softmax.
+"""Operator 8, language ID: averaged hashed subword embeddings with a linear softmax.
 
 A text is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes, ASCII letters lower-cased, any
-run of white space as one space) and of `neutral` zero vectors, so that a few letters prove little; a linear layer and a softmax give the languages' probabilities. Embeddings and
-layer are trained by stochastic gradient descent in numpy. A temperature, fitted on rows that training leaves
-aside, calibrates the probability; a text whose probability is below `floor` is rejected, where `floor` is the
-`reject` quantile of the probabilities of rightly predicted calibration rows, and `floor_cap` at most.
-
-Training sees a bounded sample of the labelled rows, `per_lang` of each language in expectation, chosen by a hash
-of the id; prediction sees every whole text. Because mean and linear layer commute, prediction needs one score per
-language and n-gram bucket: its model is `buckets` x languages floats, whatever the corpus.
+run of white space as one space) and of `neutral` zero vectors, so that a few letters prove little; a linear layer and a
+softmax give the languages' probabilities. Embeddings and layer are trained by stochastic gradient descent in numpy. A
+temperature, fitted on rows that training leaves aside, calibrates the probability; a text whose probability is below
+`floor` is rejected, where `floor` is the `reject` quantile of the probabilities of rightly predicted calibration rows,
+and `floor_cap` at most.
+
+Training sees a bounded sample of the labelled texts: `per_lang` different texts of each language in expectation, and
+`examples` in all where the languages are many, chosen by a hash of the text, so that copies, repeated ids and null ids
+count once. Every language that labels name is learned. Prediction sees every whole text. Because mean and linear layer
+commute, prediction needs one score per language and n-gram bucket: its model is `buckets` x languages floats, whatever
+the corpus.
 
 Null texts and texts without a letter: `und`, score 0, rejected. Repeated rows are predicted alike. Empty table:
 empty result; no labelled row: everything is `und` and rejected. Other columns pass through; those that clash with
-lang_pred, score or rejected are replaced.
+lang_pred, score or rejected, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, doc_bytes, split_batches, unit_hash
+from .common import SLICE_BYTES, Opened, doc_bytes, split_batches
 
 ORDERS = (2, 3, 4)
 UND = "und"
@@ -37,7 +40,7 @@ class Config:
     buckets: int = 1 << 13
     dim: int = 16
     per_lang: int = 600
-    max_langs: int = 200
+    examples: int = 6000
     steps: int = 900
     batch: int = 32
     rate: float = 10.0
@@ -79,20 +82,36 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, aside: np.ndarray, langs: tuple[str, ...], c: Config) -> Model:
+@dataclass(frozen=True)
+class Rows:
+    """Sparse rows: row k has the buckets and shares from at[k] to at[k + 1]."""
+
+    at: np.ndarray
+    bucket: np.ndarray
+    share: np.ndarray
+
+    def dense(self, some: np.ndarray, buckets: int) -> np.ndarray:
+        out = np.zeros((len(some), buckets), np.float32)
+        for k, i in enumerate(some):
+            own = slice(self.at[i], self.at[i + 1])
+            out[k, self.bucket[own]] = self.share[own]
+        return out
+
+
+def fit(x: Rows, y: np.ndarray, aside: np.ndarray, langs: tuple[str, ...], c: Config) -> Model:
     """x: n-gram shares by row; y: index of the language; aside: rows kept for calibration."""
     rng = np.random.default_rng(c.seed)
     emb = rng.normal(0, 0.5, (c.buckets, c.dim)).astype(np.float32)
     layer, bias = np.zeros((c.dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     rows = np.flatnonzero(~aside)
     if not len(rows):
-        rows = np.arange(len(x))
+        rows = np.arange(len(y))
     queue = np.zeros(0, np.int64)
     for step in range(c.steps):
         if len(queue) < c.batch:
             queue = np.concatenate([queue, rng.permutation(rows)])
         some, queue = queue[: c.batch], queue[c.batch :]
-        rate, part = c.rate * (1 - step / c.steps), x[some]
+        rate, part = c.rate * (1 - step / c.steps), x.dense(some, c.buckets)
         mean = part @ emb
         err = _softmax(mean @ layer + bias)
         err[np.arange(len(some)), y[some]] -= 1
@@ -104,11 +123,13 @@ def fit(x: np.ndarray, y: np.ndarray, aside: np.ndarray, langs: tuple[str, ...],
         bias -= 0.01 * rate * err.sum(axis=0)
     scores = emb @ layer
     kept = np.flatnonzero(aside) if aside.any() else rows
-    z = x[kept] @ scores + bias
+    z = np.concatenate([x.dense(kept[k : k + 256], c.buckets) @ scores + bias for k in range(0, len(kept), 256)])
     heats = np.geomspace(0.05, 20, 60)
-    wish = np.full(z.shape, 1 / (len(kept) + len(langs)))  # as if one more row had been wrong
-    wish[np.arange(len(kept)), y[kept]] = 1 - wish[0, 0] * (len(langs) - 1)
-    loss = [-(wish * np.log(np.maximum(_softmax(z / t), 1e-30))).sum(axis=1).mean() for t in heats]
+    doubt = 1 / (len(kept) + len(langs))  # as if one more row had been wrong
+    loss = []
+    for t in heats:
+        p = np.log(np.maximum(_softmax(z / t), 1e-30))
+        loss.append(-(doubt * p.sum(axis=1) + (1 - doubt * len(langs)) * p[np.arange(len(kept)), y[kept]]).mean())
     heat = float(heats[int(np.argmin(loss))])
     p = _softmax(z / heat)
     right = p.max(axis=1)[p.argmax(axis=1) == y[kept]]
@@ -119,15 +140,17 @@ def fit(x: np.ndarray, y: np.ndarray, aside: np.ndarray, langs: tuple[str, ...],
 def train(docs: DataFrame, train_when: Column, config: Config = Config()) -> Model:
     """docs: doc_id, text, lang; only rows of `train_when` with a language and a text teach."""
     c = config
-    labelled = docs.filter(train_when & F.col("lang").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(c.max_langs).collect()
+    key = F.xxhash64("text", F.lit(c.seed))
+    labelled = docs.filter(train_when & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", key.alias("h"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row for each language
     langs = tuple(sorted(r["lang"] for r in sizes))
     if not langs:
         return Model((), np.zeros((c.buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, c.floor_cap, c.neutral)
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, c.per_lang / r["count"]))])
-    picked = labelled.filter(
-        F.col("lang").isin(*langs) & (unit_hash("doc_id", c.seed) < share[F.col("lang")]) & F.col("text").isNotNull()
-    )
+    each = min(c.per_lang, max(1, c.examples // len(langs)))
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / max(1, r["n"])))])
+    unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    picked = labelled.filter(unit < share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    aside = F.pmod(F.xxhash64("h", F.lit(c.seed + 1)), F.lit(1 << 30)) / float(1 << 30) < c.holdout
     buckets = c.buckets
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,50 +159,48 @@ def train(docs: DataFrame, train_when: Column, config: Config = Config()) -> Mod
             used = [np.flatnonzero(f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("lang"),
-                    b.column("aside"),
+                    *(b.column(n) for n in ("lang", "h", "aside")),
                     pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())),
                     pa.array([f[u].astype(np.int64) for f, u in zip(found, used, strict=True)], pa.list_(pa.int64())),
                 ],
-                ["lang", "aside", "bucket", "n"],
+                ["lang", "h", "aside", "bucket", "n"],
             )
 
     rows = (
-        picked.select(
-            F.col("text").cast("binary").alias("text"),
-            "lang",
-            (unit_hash("doc_id", c.seed + 1) < c.holdout).alias("aside"),
-        )
-        .mapInArrow(featurise, "lang string, aside boolean, bucket array<int>, n array<long>")
+        picked.select(F.col("text").cast("binary").alias("text"), "lang", "h", aside.alias("aside"))
+        .mapInArrow(featurise, "lang string, h long, aside boolean, bucket array<int>, n array<long>")
         .toArrow()
+        .sort_by([("lang", "ascending"), ("h", "ascending")])  # the same order however tasks end
+        .combine_chunks()
     )
-    x = np.zeros((rows.num_rows, buckets), np.float32)
-    for i, (u, n) in enumerate(zip(rows["bucket"], rows["n"], strict=True)):
-        n = np.array(n.values, np.float64)
-        x[i, np.array(u.values)] = n / (n.sum() + c.neutral)
+    if not rows.num_rows:
+        return Model((), np.zeros((c.buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, c.floor_cap, c.neutral)
+    bucket, n = (rows[x].combine_chunks() for x in ("bucket", "n"))
+    at, n = bucket.offsets.to_numpy() - bucket.offsets[0].as_py(), n.flatten().to_numpy().astype(np.float64)
+    total = np.add.reduceat(n, at[:-1])
+    x = Rows(at, bucket.flatten().to_numpy(), (n / np.repeat(total + c.neutral, np.diff(at))).astype(np.float32))
     order = {v: i for i, v in enumerate(langs)}
     y = np.array([order[v] for v in rows["lang"].to_pylist()], np.int64)
-    aside = np.array(rows["aside"].to_pylist(), bool)
-    sort = np.lexsort((*(x[:, k] for k in range(0, buckets, 97)), y))  # the same order however tasks end
-    return fit(x[sort], y[sort], aside[sort], langs, c)
+    return fit(x, y, np.array(rows["aside"].to_pylist(), bool), langs, c)
+
+
+ADDED = ("lang_pred", "score", "rejected")
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and rejected; the text alone decides."""
     m = docs.sparkSession.sparkContext.broadcast(model)
-    taken = {"lang_pred", "score", "rejected"}
-    keep = [f for f in docs.schema.fields if f.name not in taken]
-    raw, letter = "__raw", "__letter"
-    names = [f.name for f in keep]
+    t = Opened(docs, ADDED)
+    names = t.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = m.value
         buckets, langs = len(model.scores), np.array([*model.langs, UND], object)
         for b in split_batches(batches):
-            ok = np.array(b.column(letter).to_pylist(), bool) & bool(model.langs)
+            ok = np.array(b.column("letter").to_pylist(), bool) & bool(model.langs)
             z = np.zeros((b.num_rows, max(1, len(model.langs))))
             if model.langs:
-                for i, t in enumerate(doc_bytes(b.column(raw))):
+                for i, t in enumerate(doc_bytes(b.column("raw"))):
                     if ok[i]:
                         n = grams(t, buckets)
                         z[i] = (n @ model.scores) / (n.sum() + model.neutral) + model.bias
@@ -193,20 +214,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     pa.array(score, pa.float64()),
                     pa.array(~ok | (score < model.floor)),
                 ],
-                [*names, "lang_pred", "score", "rejected"],
+                [*names, *ADDED],
             )
 
-    schema = T.StructType(
-        [
-            *keep,
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("rejected", T.BooleanType()),
-        ]
-    )
-    text = F.col("text")
-    return docs.select(
-        *names,
-        text.cast("binary").alias(raw),
-        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(letter),
-    ).mapInArrow(run, schema)
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    text = t.column("text")
+    rows = t.rows.select(*names, text.cast("binary").alias("raw"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    return t.closed(rows.mapInArrow(run, t.schema(*map(T.StructField, ADDED, kinds))), *ADDED)
