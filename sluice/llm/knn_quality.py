@@ -8,13 +8,14 @@ the corpus. Each block of documents is multiplied with all of them (exact cosine
 largest vote with weight cosine**`power`; the score is label 1's share, shrunk towards label 1's share of the
 examples by `prior` votes.
 
-Learning takes a bounded sample of the labelled rows, `examples` in expectation, split evenly between the labels
-where each has enough and chosen by a hash of the id; votes are re-weighted by the labels' true shares. Scoring
-sees every whole text.
+Learning takes a bounded sample of the labelled ids, `examples` in expectation, split evenly between the labels
+where each has enough and chosen by a hash of the id; votes are re-weighted by the labels' true shares. An id with two
+labels is two examples; one with several texts, or the same text often, teaches with the least of them, so repeated rows
+do not add to the sample. Scoring sees every whole text.
 
 Null and empty texts have no term, so the prior is their score. Which of equal cosines make the last neighbours
-depends on the examples' order alone, which labels and hashes fix. No example: score 0.5. Repeated rows are scored alike; an id with two
-labels is two examples. Other columns pass through; a clashing score or predicted is replaced.
+depends on the examples' order alone, which labels and hashes fix. No example: score 0.5. Repeated rows are scored
+alike. Other columns pass through; a clashing score or predicted, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, doc_bytes, split_batches, unit_hash, words
+from .common import SLICE_BYTES, Opened, doc_bytes, split_batches, unit_hash, words
 
 
 @dataclass(frozen=True)
@@ -128,16 +129,20 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Mode
         return None
     share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, c.examples / len(sizes) / n))])
     picked = labels.filter(F.col("label").isin(*sizes) & (unit_hash("doc_id", c.seed) < share[F.col("label")]))
+    picked = picked.select("doc_id", F.col("label").cast("int").alias("label")).filter("doc_id IS NOT NULL").distinct()
+    few = picked.limit(4 * c.examples + 1).count() <= 4 * c.examples
+    small = F.broadcast(picked) if few else picked  # `examples` rows expected
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in split_batches(batches):
             found = [terms(t, c).tobytes() for t in doc_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("h"), pa.array(found, pa.binary())], ["label", "h", "x"])
 
-    small = F.broadcast(picked.select("doc_id", F.col("label").cast("int").alias("label")))  # `examples` rows expected
     rows = (
         docs.select("doc_id", F.col("text").cast("binary").alias("text"))
         .join(small, "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
         .select("text", "label", unit_hash("doc_id", c.seed).alias("h"))
         .mapInArrow(featurise, "label int, h double, x binary")
         .toArrow()
@@ -151,24 +156,26 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Mode
     return fit(x, y, weight, c)
 
 
+ADDED = ("score", "predicted")
+
+
 def score(docs: DataFrame, model: Model | None, config: Config = Config()) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score reaches the threshold)."""
-    keep = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    names = [f.name for f in keep]
+    t = Opened(docs, ADDED)
+    names = t.names
     if model is None:
-        return docs.select(*names, F.lit(0.5).alias("score"), (F.lit(0.5) >= config.threshold).cast("int").alias("predicted"))
+        return t.closed(t.rows.select(*names, F.lit(0.5).alias("score"), (F.lit(0.5) >= config.threshold).cast("int").alias("predicted")), *ADDED)
     m = docs.sparkSession.sparkContext.broadcast(model)
-    raw = "__raw"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = m.value
         for b in split_batches(batches, 256):
-            s = vote(np.stack([terms(t, model.config) for t in doc_bytes(b.column(raw))]), model)
+            s = vote(np.stack([terms(t, model.config) for t in doc_bytes(b.column("raw"))]), model)
             s = np.clip(s, 0, 1)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(n) for n in names), pa.array(s, pa.float64()), pa.array((s >= model.config.threshold).astype(np.int32))],
-                [*names, "score", "predicted"],
+                [*names, *ADDED],
             )
 
-    schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*names, F.col("text").cast("binary").alias(raw)).mapInArrow(run, schema)
+    schema = t.schema(T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()))
+    return t.closed(t.rows.select(*names, t.column("text").cast("binary").alias("raw")).mapInArrow(run, schema), *ADDED)
