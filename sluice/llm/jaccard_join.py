@@ -6,9 +6,13 @@ The join finds all pairs of different texts with Jaccard similarity of at least
 1. Equal texts are a class, found by SHA-256; everything below sees each class once.
 2. A scan takes bands * rows MinHash values of every text; texts that share a band are joined to the bucket's least
    node (a star, never all pairs), and connected components of the stars hold all candidate pairs.
-3. A component is dealt into blocks of bounded count and bytes; each pair of blocks is a task's group. There all pairs
-   are compared by `step` MinHash values at a time. With a uniform prior, after n values with m equal the similarity
-   reaches the threshold with probability P(Binomial(n + 1, threshold) <= m); a pair below `tolerance` is dropped.
+3. A component is dealt into blocks of bounded count and bytes; each pair of blocks is a task's group. A component of
+   several blocks may instead be dealt by its buckets, each into its own blocks, where that sends fewer texts: similar
+   texts share most buckets, and one component is the shorter way; texts that only chains of chance hits hold together
+   share few, and then no text is sent more often than `bands` times, however large the component. In a group all pairs
+   (of a bucket: those that share no earlier bucket, so a pair counts once) are compared by `step` MinHash values at a
+   time. With a uniform prior, after n values with m equal the similarity reaches the threshold with probability
+   P(Binomial(n + 1, threshold) <= m); a pair below `tolerance` is dropped.
 4. The rest are verified exactly on their sets of windows (64-bit hashes of the words). A group gives each text's
    number of links and its least linked node, so output is linear in texts, however many pairs link.
 5. Components of the verified links are the groups.
@@ -28,10 +32,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, mix64, split_batches, windows, words
+from .common import Opened, Stage, mix64, split_batches, windows, words
 
 
 @dataclass(frozen=True)
@@ -85,11 +89,16 @@ def least_matches(c: Config) -> dict[int, int]:
     return out
 
 
-def candidates(sig: np.ndarray, left: np.ndarray, right: np.ndarray, c: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs left[k], right[k], those that no comparison drops."""
+def candidates(sig: np.ndarray, left: np.ndarray, right: np.ndarray, c: Config, bucket: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs left[k], right[k], those that no comparison drops; in a bucket, of those whose first common one it is."""
     need, kept = least_matches(c), []
+    keys = None if bucket is None else np.stack([band_keys(x, c) for x in sig])
     for at in range(0, len(left), 1 << 15):
         i, j = left[at : at + (1 << 15)], right[at : at + (1 << 15)]
+        if keys is not None:
+            first = (keys[i] == keys[j]).argmax(axis=1)
+            own = (keys[i, first] == bucket) & (keys[j, first] == bucket)
+            i, j = i[own], j[own]
         same = np.zeros(len(i), np.int64)
         for n in sorted(need):
             part = slice(n - c.step, n)
@@ -119,9 +128,10 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return total[left, right].astype(np.int64)
 
 
-def links(nodes: np.ndarray, side: np.ndarray | None, texts: list[bytes], c: Config) -> tuple[np.ndarray, np.ndarray]:
+def links(nodes: np.ndarray, side: np.ndarray | None, texts: list[bytes], c: Config, bucket: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of a group of texts: each one's number of links and the least node that links lead to. side: in a group of two
-    blocks, whether a text is of the first; only pairs across count then."""
+    blocks, whether a text is of the first; only pairs across count then. bucket: the band's key that made the group, if
+    one did."""
     sets = [np.unique(windows(words(t)[0], c.width)) for t in texts]
     a, b = family(c)
     sig = np.stack([minhash(s, a, b) for s in sets])
@@ -130,7 +140,7 @@ def links(nodes: np.ndarray, side: np.ndarray | None, texts: list[bytes], c: Con
     else:
         one, two = np.flatnonzero(side), np.flatnonzero(~side)
         left, right = np.repeat(one, len(two)), np.tile(two, len(one))
-    left, right = candidates(sig, left, right, c)
+    left, right = candidates(sig, left, right, c, bucket)
     size = np.array([len(s) for s in sets])
     both = common_counts(sets, left, right)
     ok = both >= c.threshold * (size[left] + size[right] - both) - 1e-9
@@ -209,27 +219,35 @@ def classes(docs: DataFrame, config: Config = Config()) -> tuple[DataFrame, Data
     stars = bands.join(buckets, "band").select(F.col("node").alias("a"), F.col("root").alias("b"))
     members = components(stage, stars, "candidates")
 
+    def blocks(n: str, size: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / c.block_docs), F.ceil(F.col(size) / c.block_bytes), F.lit(1)).cast("int")
+
     known = members.join(nodes.select("node", "key", "class_id", "size"), "node")
-    extent = known.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / c.block_docs), F.ceil(F.col("bytes") / c.block_bytes), F.lit(1)).cast("int")
-    placed = (
-        known.join(extent.select("root", blocks.alias("blocks")), "root")
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(c.seed)), "blocks").cast("int"))
-        .select("node", "root", "block", "blocks", "key", F.col("class_id").alias("doc_id"))
+    extent = known.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("blocks", blocks("n", "bytes"))
+    large = known.join(extent.filter("blocks > 1").select("root"), "root").join(bands, "node")
+    buckets = large.groupBy("root", "band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1").withColumn("blocks", blocks("n", "bytes"))
+    sent = buckets.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("sent"))
+    extent = stage.write(extent.join(sent, "root", "left").select("root", "blocks", (F.col("sent") < F.col("n") * F.col("blocks")).alias("by_bucket")), "extent")
+    whole = known.join(extent.filter("NOT coalesce(by_bucket, FALSE)"), "root").withColumn("bucket", F.lit(None).cast("long"))
+    parts = large.join(extent.filter("by_bucket").select("root"), "root").join(buckets.select("root", "band", "blocks"), ["root", "band"])
+    dealt_nodes = whole.select("node", "root", "bucket", "blocks", "key", F.col("class_id").alias("doc_id")).unionByName(
+        parts.select("node", "root", F.col("band").alias("bucket"), "blocks", "key", F.col("class_id").alias("doc_id"))
     )
+    placed = dealt_nodes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(c.seed)), "blocks").cast("int"))
     both = (placed["key"] == keyed["key"]) & placed["doc_id"].eqNullSafe(keyed["doc_id"])
     dealt = (
         placed.join(keyed, both)
-        .select("node", "root", "block", "blocks", "text")
+        .select("node", "root", "bucket", "block", "blocks", "text")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "text")
+        .select("root", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "text")
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
             nodes = np.array([r[0] for r in group], np.int64)
-            side = None if key[1] == key[2] else np.array([r[1] == key[1] for r in group])
-            n, least = links(nodes, side, [r[2] for r in group], c)
+            _, bucket, lo, hi = key
+            side = None if lo == hi else np.array([r[1] == lo for r in group])
+            n, least = links(nodes, side, [r[2] for r in group], c, bucket)
             some = n > 0
             return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (nodes, n, least)], ["node", "n_links", "least"])
 
@@ -245,7 +263,7 @@ def classes(docs: DataFrame, config: Config = Config()) -> tuple[DataFrame, Data
         if len(group) > 1:
             yield done()
 
-    order = ["root", "lo", "hi"]
+    order = ["root", "bucket", "lo", "hi"]
     found = dealt.repartition(*order).sortWithinPartitions(*order, "block", "node")
     found = stage.write(found.mapInArrow(verify, "node long, n_links long, least long"), "links")
     groups = components(stage, found.select(F.col("node").alias("a"), F.col("least").alias("b")), "groups")
@@ -274,11 +292,16 @@ def join(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, config: Config = Config()) -> DataFrame:
-    """docs, all columns: of each group the document with the least id. Null texts all stay."""
-    key, names = "__key", docs.columns
-    chosen = classes(docs, config)[1].filter(F.col("class_id").eqNullSafe(F.col("group_id")))
-    chosen = chosen.select(F.col("class_id").alias("__id"), F.col("key").alias("__chosen"))
-    keyed = docs.withColumn(key, F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    same = (F.col(key) == F.col("__chosen")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    kept = keyed.filter(F.col(key).isNotNull()).join(chosen, same, "left_semi").dropDuplicates(["doc_id", key])
-    return kept.select(*names).unionByName(docs.filter(F.col("text").isNull()))
+    """docs, all columns: of each group the document with the least id. Null texts all stay. Of rows with equal id and text
+    the one stays whose other columns come first as JSON."""
+    t = Opened(docs)
+    id_, text = t.column("doc_id"), t.column("text")
+    info = classes(t.rows.select(id_.alias("doc_id"), text.alias("text")), config)[1]
+    chosen = info.filter(F.col("class_id").eqNullSafe(F.col("group_id"))).select(F.col("class_id").alias("chosen_id"), F.col("key").alias("chosen"), "n_copies")
+    keyed = t.rows.filter(text.isNotNull()).withColumn("key", F.unhex(F.sha2(text.cast("binary"), 256)))
+    kept = keyed.join(chosen, (F.col("key") == F.col("chosen")) & id_.eqNullSafe(F.col("chosen_id")))
+    others = [n for n in t.names if n not in (t.place("doc_id"), t.place("text"))]
+    first = F.to_json(F.struct(*others)) if others else F.lit("")
+    several = kept.filter("n_copies > 1").groupBy("chosen", "chosen_id").agg(F.min_by(F.struct(*t.names), first).alias("row"))
+    out = kept.filter("n_copies = 1").select(*t.names).unionByName(several.select(*[F.col(f"row.{n}").alias(n) for n in t.names]))
+    return t.closed(out.unionByName(t.rows.filter(text.isNull())))

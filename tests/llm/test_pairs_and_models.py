@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluice.llm import decontaminate, hmm, jaccard_join, knn_quality, langid, pieces, queries, secret_scan, warc
+from sluice.llm import common, decontaminate, hmm, jaccard_join, knn_quality, langid, pieces, queries, secret_scan, warc
 from sluice.llm.common import Stage, fold, shared_dir
 from tests.llm.test_scans import EDGE, MODEL, edge_docs, empty_docs
 
@@ -77,6 +78,27 @@ def test_a_large_near_group_keeps_every_link(spark):
     assert got == plain_join(rows)
 
 
+def test_a_long_chain_is_dealt_by_buckets(spark):
+    """Texts that share some windows with the next ones only: one component, few pairs in a bucket. All links are found, and
+    no text is sent more often than it has bands."""
+    rng = random.Random(6)
+    word = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(word[4 * k : 4 * k + 60])) for k in range(600)] + [(1000 + k, f"{t} {rng.choice(word)}") for k, t in near_copies(60, 1, 1, 8)]
+    c = jaccard_join.Config(block_docs=8, bands=60, rows=2, step=24)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links, r.group_id) for r in jaccard_join.join(frame, c).collect()}
+    assert got == plain_join(rows)
+    stage = common._stages[-1].path
+    extent = spark.read.parquet(f"{stage}/extent")
+    assert extent.filter("by_bucket").count() >= 1
+
+
+def test_of_equal_rows_one_stays(spark):
+    rows = [(1, "a b c d e f g", "z", 1.0), (1, "a b c d e f g", "a", 2.0), (1, "a b c d e f g", "a", 2.0), (2, "a b c d e f g", "a", 0.0), (3, "other", None, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, Key string, `__id` double"))
+    assert kept.columns == ["doc_id", "text", "Key", "__id"] and sorted(map(tuple, kept.collect())) == [(1, "a b c d e f g", "a", 2.0), (3, "other", None, None)]
+
+
 def test_intersections_are_the_same_by_either_way():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(40)]
@@ -355,6 +377,36 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert np.mean([r.rejected for r in rows]) < 0.01
 
 
+def test_predictions_equal_plain_scores(spark):
+    """Counts of n-grams one by one, and the softmax of their mean score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = langid.train(docs, fold("doc_id", 5) != 0)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.predict(docs.select("doc_id", "text"), m).collect():
+        text = b" " + b" ".join((texts[r.doc_id] or "").encode().lower().split()) + b" "
+        z, n = np.zeros(len(m.langs)), 0
+        for order in langid.ORDERS:
+            for k in range(len(text) - order + 1):
+                code = 0
+                for x in text[k : k + order]:
+                    code = (code * 0x01000193 + x) & 0xFFFFFFFF
+                z, n = z + m.scores[((code * 0x9E3779B1) & 0xFFFFFFFF) >> (33 - len(m.scores).bit_length())], n + 1
+        p = np.exp((z / (n + m.neutral) + m.bias) / m.temperature)
+        p /= p.sum()
+        if any(x.isalpha() for x in texts[r.doc_id] or ""):
+            assert r.lang_pred == m.langs[int(p.argmax())] and r.score == pytest.approx(p.max(), rel=1e-4) and r.rejected == (r.score < m.floor)
+
+
+def test_copies_and_many_languages_are_sampled_within_the_bound(spark):
+    rows = [(k % 3 or None, f"the same words in a text {k % 2}", "en") for k in range(400)] + [(k, f"text {k} of a language", f"l{k % 40}") for k in range(800)]
+    c = langid.Config(examples=80, steps=20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs, F.lit(True), c)
+    assert len(m.langs) == 41 and "en" in m.langs
+    out = langid.predict(docs.withColumns({"Lang_Pred": F.lit(1), "__raw": F.lit(2), "letter": F.lit(3)}), m)
+    assert out.columns == ["doc_id", "text", "lang", "__raw", "letter", "lang_pred", "score", "rejected"] and out.count() == 1200
+
+
 def test_language_edges(spark):
     docs = edge_docs(spark).withColumn("lang", F.lit("en"))
     model = langid.train(docs, F.lit(True))
@@ -409,6 +461,9 @@ def test_quality_edges(spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (4, 1), (7, 1), (77, 0), (8, None)], "doc_id long, label int")
     rows = knn_quality.score(docs, knn_quality.train(docs, labels)).collect()
     assert len(rows) == len(EDGE) + 3 and all(0 <= r.score <= 1 for r in rows)
+    hot = docs.unionByName(spark.createDataFrame([(4, f"hot {k % 2}", "s") for k in range(500)], "doc_id long, text string, score string"))
+    assert len(knn_quality.train(hot, labels).vectors) == 3  # ids 4, 5 and 7; 4 is there hundreds of times, with several texts
+    assert knn_quality.score(docs.withColumn("Predicted", F.lit(1)), None).columns == ["doc_id", "text", "score", "predicted"]
     assert knn_quality.train(docs, labels.limit(0)) is None
     assert {r.score for r in knn_quality.score(docs, None).collect()} == {0.5}
     assert knn_quality.score(empty_docs(spark), None).count() == 0
@@ -437,8 +492,9 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     four = stage.write(corpus_pipeline.secret_scans(spark, three, SF), "four")
     before = {r.doc_id: r for r in three.collect()}
     for r in four.collect():
-        old, found = before[r.doc_id], secret_scan.scan(before[r.doc_id].text.encode())
-        assert r == old if not found else "[SECRET]" in r.text and r.n_chars == len(r.text) and not secret_scan.scan(r.text.encode())
+        old, found = before[r.doc_id], [x for x in secret_scan.scan(before[r.doc_id].text.encode()) if secret_scan.KINDS[x[1]] != "hex"]
+        assert r == old if not found else "[SECRET]" in r.text and r.n_chars == len(r.text)
+        assert all(secret_scan.KINDS[k] == "hex" for _, k, _ in secret_scan.scan(r.text.encode()))
 
     five = corpus_pipeline.sentencepiece_ids(spark, four, SF).collect()
     with open(MODEL, "rb") as file:
@@ -457,6 +513,17 @@ def test_pipeline_stages_take_odd_rows(spark):
             assert docs.count() <= before.count()
 
 
+def test_stage_tables_go_when_released(spark):
+    at = common.mark()
+    one, two = Stage(spark, "one"), Stage(spark, "two")
+    for s in (one, two):
+        s.write(spark.range(3).toDF("x"), "t")
+    common.release(at, at + 1)
+    assert not os.path.exists(one.path.removeprefix("file://")) and spark.read.parquet(f"{two.path}/t").count() == 3
+    common.release(at)
+    assert not os.path.exists(two.path.removeprefix("file://"))
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
@@ -481,3 +548,8 @@ def test_archive_query_rebuilds_every_record(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "write", shortened)
     with pytest.raises(Exception, match="as long as it states"):
         queries.op2_warc_archive(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(warc, "write", write)
+    export = warc.export
+    monkeypatch.setattr(warc, "export", lambda rows, path: export(rows.withColumn("record", F.encode(F.replace(F.decode("record", "UTF-8"), F.lit("abc"), F.lit("abd")), "UTF-8")), path))
+    with pytest.raises(Exception, match="not what its header states"):
+        queries.op2_warc_archive(spark, str(tmp_path)).collect()
