@@ -1,7 +1,9 @@
 """The corpus pipeline: documents to token ids, in five stages.
 
 Every stage gets what its predecessor kept, written as Parquet and read again. All but the last return the columns of
-documents; the last returns each kept document's token ids.
+documents; the last returns each kept document's token ids. Null and empty texts go at the first stage, as texts without
+a letter do; given to a later stage they stay, with an end id alone at the last. Repeated rows are copies: one stays at
+the second stage. Empty tables give empty results. Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, jaccard_join, langid, pieces, secret_scan
-from sluice.llm.common import Stage, fold, table
+from sluice.llm.common import Stage, fold, mark, release, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +33,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a tag; n_chars follows the text."""
-    found = secret_scan.secrets(docs)
-    text = secret_scan.redact(F.col("text"), F.col("secrets"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """All documents, their secrets replaced by a tag; n_chars follows the text. A run of hex digits alone is not taken for
+    a secret here, because digests and numbers are such runs; one that is assigned or decodes to a key is."""
+    return secret_scan.redact(docs, [k for k in secret_scan.KINDS if k != "hex"])
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stage has read and made on the way goes when its result is written."""
     stage, docs = Stage(spark, "pipeline"), table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        at = mark()
         docs = stage.write(step(spark, docs, sf_dir), name)
+        release(at)
+        if k:
+            stage.drop(STAGES[k - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
