@@ -57,7 +57,7 @@ class Config:
     smooth: float = 0.1
     cells: int = 300_000
     block: int = 2048
-    together: int = 2_500_000
+    together: int = 2_000_000
     flush: int = 300_000
     every: int = 8
     seed: int = 4
@@ -480,7 +480,7 @@ def _round(taught: DataFrame, model: Model, shares: np.ndarray, vocabulary, c: C
                 e, each = e[:symbols].copy(), e[symbols:]
                 np.add.at(e, of, each)
                 own.add(used, np.bincount(place, minlength=len(used)), each)
-                if len(own.ids) > c.flush:
+                if len(own.ids) > c.flush or own.tokens >= 1 << 23:
                     yield from own.take()
             else:
                 f, a, e = expect(model, _split(seqs, at), c)
@@ -511,12 +511,13 @@ def _round(taught: DataFrame, model: Model, shares: np.ndarray, vocabulary, c: C
 
 
 SENT = "symbol long, word binary, v binary"
-"""v: 64-bit expected counts by state of a symbol; or a word's count and then its expected counts."""
+"""v: expected counts by state of a symbol, in double precision; or a word's count and then its expected counts, in single
+precision, in which a task's counts, of fewer than 2**24 tokens of a word, are exact."""
 
 
 def _sent(symbol: np.ndarray | None, word: list[bytes] | None, rows: np.ndarray) -> pa.RecordBatch:
-    rows = np.ascontiguousarray(rows, np.float64)
-    size = rows.shape[1] * 8
+    rows = np.ascontiguousarray(rows, np.float64 if word is None else np.float32)
+    size = rows.shape[1] * rows.itemsize
     v = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, size * (len(rows) + 1), size, dtype=np.int32)), pa.py_buffer(rows)])
     none = [None] * len(rows)
     return pa.RecordBatch.from_arrays([pa.array(none if symbol is None else symbol, pa.int64()), pa.array(none if word is None else word, pa.binary()), v], ["symbol", "word", "v"])
@@ -532,7 +533,7 @@ class _Own:
     def clear(self) -> None:
         self.ids: dict[bytes, int] = {}
         self.rank_ids = np.full(len(self.v.words) + 1, -1, np.int32)
-        self.sums = np.zeros((0, self.states + 1))
+        self.sums, self.tokens = np.zeros((0, self.states + 1)), 0
 
     def places(self, tokens: np.ndarray, uncommon: np.ndarray, which: np.ndarray, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids that occur, each once, and for each token the place of its id among them."""
@@ -548,6 +549,7 @@ class _Own:
     def add(self, used: np.ndarray, count: np.ndarray, expected: np.ndarray) -> None:
         if len(self.sums) < len(self.ids):
             self.sums = np.concatenate([self.sums, np.zeros((len(self.ids) - len(self.sums), self.states + 1))])
+        self.tokens += int(count.sum())
         self.sums[used, 0] += count
         self.sums[used, 1:] += expected
 
@@ -579,7 +581,7 @@ def _summed(states: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 if not part.num_rows:
                     continue
                 key = part.column("word" if is_word else "symbol")
-                rows = np.frombuffer(b"".join(part.column("v").to_pylist())).reshape(-1, states + is_word)
+                rows = np.frombuffer(b"".join(part.column("v").to_pylist()), np.float32 if is_word else np.float64).reshape(-1, states + is_word).astype(np.float64)
                 if held is not None and held[2] == is_word:
                     key, rows = pa.concat_arrays([held[0], key]), np.concatenate([held[1], rows])
                 elif held is not None:
