@@ -2,7 +2,7 @@
 from every sign of the result to the part of the original that it came from.
 
 Spark has no such function, so this is an Arrow UDF. Texts that it cannot change (ASCII, without entities, percent runs
-or base64 candidates) do not enter Python: a Column test keeps them in the JVM, and they carry no map.
+or base64 candidates) are not sent to Python: a Column test makes them null there, and they carry no map.
 """
 
 from __future__ import annotations
@@ -21,10 +21,46 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sluice.operators.detect import bound, slices
+
 # The default-ignorable signs beside Unicode's category Cf; decoding candidates.
 IGNORABLE = (
-    "­͏ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮"
-    "⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿"
+    "\u00ad"  # soft hyphen
+    "\u034f"  # combining grapheme joiner
+    "\u115f"  # hangul choseong filler
+    "\u1160"  # hangul jungseong filler
+    "\u17b4"  # khmer vowel inherent aq
+    "\u17b5"  # khmer vowel inherent aa
+    "\u180b"  # mongolian free variation selector one
+    "\u180c"  # mongolian free variation selector two
+    "\u180d"  # mongolian free variation selector three
+    "\u180e"  # mongolian vowel separator
+    "\u200b"  # zero width space
+    "\u200c"  # zero width non-joiner
+    "\u200d"  # zero width joiner
+    "\u200e"  # left-to-right mark
+    "\u200f"  # right-to-left mark
+    "\u202a"  # left-to-right embedding
+    "\u202b"  # right-to-left embedding
+    "\u202c"  # pop directional formatting
+    "\u202d"  # left-to-right override
+    "\u202e"  # right-to-left override
+    "\u2060"  # word joiner
+    "\u2061"  # function application
+    "\u2062"  # invisible times
+    "\u2063"  # invisible separator
+    "\u2064"  # invisible plus
+    "\u2066"  # left-to-right isolate
+    "\u2067"  # right-to-left isolate
+    "\u2068"  # first strong isolate
+    "\u2069"  # pop directional isolate
+    "\u206a"  # inhibit symmetric swapping
+    "\u206b"  # activate symmetric swapping
+    "\u206c"  # inhibit arabic form shaping
+    "\u206d"  # activate arabic form shaping
+    "\u206e"  # national digit shapes
+    "\u206f"  # nominal digit shapes
+    "\ufeff"  # zero width no-break space
 )
 ENTITY = re.compile(r"&(?:#x?[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
@@ -148,7 +184,7 @@ def normalized(text: Column, options: Options = Options()) -> Column:
                 rows.append((None, [], [], [], []) if same else (t.text, t.start, t.end, t.kind.astype(np.int32), flags))
             yield pd.DataFrame(rows, columns=["normalized", "os", "oe", "kind", "flags"])
 
-    made = F.when(F.regexp_like(text, F.lit(GATE)), run(text))
+    made = run(F.when(F.regexp_like(text, F.lit(GATE)), text))  # Spark calls the function for every row; null costs nothing
     return F.when(made["normalized"].isNotNull(), made)
 
 
@@ -164,11 +200,14 @@ def project(norm: Column, start: Column, end: Column) -> tuple[Column, Column]:
 def remap(found: Column, norm: Column, text: Column) -> Column:
     """Detections in the normalised text as detections in the original, whose text becomes matched_text."""
 
-    def one(d: Column) -> Column:
+    def place(d: Column) -> Column:
         s, e = project(norm, d["start"], d["end"])
-        return d.withField("start", s).withField("end", e).withField("matched_text", F.substring(text, s + 1, e - s))
+        return d.withField("start", s).withField("end", e)
+
+    def fill(moved: Column) -> Column:
+        return F.zip_with(moved, slices(text, moved), lambda d, t: d.withField("matched_text", t))
 
-    return F.when(norm.isNull(), found).otherwise(F.transform(found, one))
+    return F.when(norm.isNull(), found).otherwise(bound(F.transform(found, place), fill))
 
 
 def compose(first: Traced, second: Traced) -> Traced:
