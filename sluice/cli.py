@@ -1,8 +1,11 @@
-"""Command line: init, validate-policy, policy-diff."""
+"""Command line: init, validate-policy, policy-diff, doctor."""
 
 from __future__ import annotations
 
 import argparse
+import importlib.util
+import os
+import shutil
 import sys
 from pathlib import Path
 
@@ -58,6 +61,32 @@ def diff(old: str, new: str) -> int:
     return 0
 
 
+def doctor(path: str | None) -> int:
+    """What a run needs, a line each: a policy that loads and turns on detectors that need no model here, the Python
+    packages of the workers, and Java for Spark. 0 if nothing is missing."""
+    wrong = 0
+
+    def say(what: str, why: str = "") -> None:
+        nonlocal wrong
+        wrong += bool(why)
+        print(f"{'FAIL' if why else 'ok'}  {what}{': ' if why else ''}{why}")
+
+    if path is not None:
+        try:
+            policy = YamlPolicy(path).load()
+            on = [n for n, v in policy.detectors.items() if v and n != "normalization"]
+            say(f"policy {path}", "" if on else "it turns on no detector")
+            if models := [n for n in on if n != "regex"]:
+                print(f"note  the models {', '.join(models)} must be given to the plan")
+        except (OSError, ValueError) as e:
+            say(f"policy {path}", str(e))
+    for name in ("pyspark", "pyarrow", "pandas", "numpy", "yaml"):
+        say(f"package {name}", "" if importlib.util.find_spec(name) else "not installed")
+    java = shutil.which("java") or (os.environ.get("JAVA_HOME") and shutil.which("java", path=os.path.join(os.environ["JAVA_HOME"], "bin")))
+    say("java", "" if java else "not found on PATH or in JAVA_HOME")
+    return int(wrong > 0)
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sluice")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -69,7 +98,10 @@ def main(args: list[str] | None = None) -> int:
     two = commands.add_parser("policy-diff")
     two.add_argument("old")
     two.add_argument("new")
+    commands.add_parser("doctor", help="say what a run still needs").add_argument("--policy")
     a = parser.parse_args(args)
+    if a.command == "doctor":
+        return doctor(a.policy)
     if a.command == "init":
         return init(a.path, a.template, a.strict)
     return validate(a.path) if a.command == "validate-policy" else diff(a.old, a.new)

@@ -8,10 +8,10 @@ joined, so no pattern can match across strings.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,7 +72,7 @@ def _write_back(bodies: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Ite
     for body, paths, texts in bodies:
         out = []
         for b, ps, ts in zip(body, paths, texts, strict=True):
-            if ps is None or not len(ps):
+            if b is None or ps is None or not len(ps):
                 out.append(b)
                 continue
             root = json.loads(b)
@@ -86,17 +86,34 @@ def _write_back(bodies: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Ite
         yield pd.Series(out, dtype=object)
 
 
-def rebuild(requests: DataFrame, rewritten: DataFrame, key: str = "request_id", body: str = "body", text: str = "rewritten_text") -> DataFrame:
+def rebuild(requests: DataFrame, rewritten: DataFrame, key: str = "request_id", body: str = "body", text: str = "rewritten_text", also: Mapping[str, Column] | None = None) -> DataFrame:
     """requests with `new_body`: every string of rewritten(key, path, segment_no, text) written back at its path. Strings
-    are gathered for each request, whose number of them is that of its body; a body without strings stays as it is."""
-    parts = rewritten.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("segment_no", "path", F.col(text).alias("text")))).alias("__parts"))
-    joined = requests.join(parts, key, "left")
-    new = _write_back(F.col(body), F.transform("__parts", lambda x: x["path"]), F.transform("__parts", lambda x: x["text"]))
-    return joined.withColumn("new_body", F.when(F.col("__parts").isNull(), F.col(body)).otherwise(new)).drop("__parts")
+    are gathered for each request; a request with more or fewer of them than its body has fails the query, because a string
+    that is lost would leave its place as it was. A body without strings stays as it is. also: further
+    aggregates over a request's strings, by name."""
+    more = [c.alias(n) for n, c in (also or {}).items()]
+    parts = rewritten.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("segment_no", "path", F.col(text).alias("text")))).alias("__parts"), *more)
+    joined = requests.join(parts, key, "left").withColumn("__n", F.coalesce(F.size(segments(F.col(body))), F.lit(0)))
+    have = F.when(F.col("__parts").isNull(), 0).otherwise(F.size("__parts"))
+    wrong = F.raise_error(F.concat(F.lit("a request has "), F.col("__n").cast("string"), F.lit(" strings, rewritten are "), have.cast("string"))).cast("string")
+    some = lambda c: F.when(F.col("__parts").isNotNull(), c)
+    new = _write_back(some(F.col(body)), F.transform("__parts", lambda x: x["path"]), F.transform("__parts", lambda x: x["text"]))
+    return joined.withColumn("new_body", F.when(have != F.col("__n"), wrong).when(F.col("__parts").isNull(), F.col(body)).otherwise(new)).drop("__parts", "__n")
+
+
+def requests(spark: SparkSession, path: str, stream: bool = False, at: Column | None = None) -> DataFrame:
+    """Chat requests from JSON lines, as a batch or a stream: body, request_id, conversation_id. A request's id is
+    pg_<seconds of `at`>_<8 hex digits of the body's SHA-256>, the same when a task is repeated; `at` is a fixed time, or
+    the file's. A conversation is what metadata.conversation_id names, or the request itself."""
+    lines = (spark.readStream if stream else spark.read).text(path).select(F.col("value").alias("body"), "_metadata.file_modification_time")
+    when = F.unix_timestamp(F.col("file_modification_time") if at is None else at).cast("string")
+    rows = lines.select("body", F.concat(F.lit("pg_"), when, F.lit("_"), F.substring(F.sha2("body", 256), 1, 8)).alias("request_id"))
+    named = F.try_variant_get(F.try_parse_json("body"), "$.metadata.conversation_id", "string")
+    return rows.withColumn("conversation_id", F.coalesce(F.nullif(named, F.lit("")), F.col("request_id")))
 
 
 def conversation_bodies(turns: DataFrame) -> DataFrame:
     """A chat body for each conversation of turns(conv_id, turn, role, text)."""
     message = F.struct(F.col("role"), F.col("text").alias("content"))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", message.alias("m"))))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", message.alias("m"))))
     return turns.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(ordered, lambda x: x["m"]).alias("messages"))).alias("body"))

@@ -5,6 +5,8 @@ gold and pred: doc_id, category, start, end and an order (`ord`) within the docu
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,25 +22,28 @@ def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
 
 
 def match_iou(gold: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, category, tp, fp, fn. Gold spans take, in order, the free prediction of their category with the largest
-    overlap of at least the threshold, of equal ones the first. One document's spans are folded in one row."""
-    g = gold.groupBy("doc_id", "category").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))).alias("g"))
-    p = pred.groupBy("doc_id", "category").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))).alias("p"))
+    """doc_id, category, tp, fp, fn. Gold spans take, in order, the first free prediction of their category, in the
+    predictions' order, that overlaps by the threshold at least. One document's spans of a category are folded in a row."""
+    g = gold.groupBy("doc_id", "category").agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("g"))
+    p = pred.groupBy("doc_id", "category").agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end"))).alias("p"))
     both = g.join(p, ["doc_id", "category"], "full_outer")
     none = F.array().cast("array<int>")
 
     def step(used: Column, x: Column) -> Column:
-        scored = F.transform("p", lambda y, k: F.struct(iou(x["start"], x["end"], y["start"], y["end"]).alias("v"), (-k).alias("k")))
-        free = F.filter(scored, lambda s: (s["v"] >= threshold) & (s["v"] > 0) & ~F.array_contains(used, -s["k"]))
-        return F.when(F.size(free) > 0, F.concat(used, F.array(-F.array_max(free)["k"]))).otherwise(used)
+        fits = F.transform("p", lambda y, k: F.when((iou(x["start"], x["end"], y["start"], y["end"]) >= threshold) & ~F.array_contains(used, k), k))
+        return F.concat(used, F.array_compact(F.array(F.array_min(fits))))
 
-    none_of = lambda c: F.coalesce(F.size(c), F.lit(0))
     n_g = F.when(F.col("g").isNull(), 0).otherwise(F.size("g"))
     n_p = F.when(F.col("p").isNull(), 0).otherwise(F.size("p"))
-    tp = F.when(F.col("g").isNull() | F.col("p").isNull(), 0).otherwise(none_of(F.aggregate("g", none, step)))
+    tp = F.when(F.col("g").isNull() | F.col("p").isNull(), 0).otherwise(F.size(F.aggregate("g", none, step)))
     return both.select("doc_id", "category", tp.cast("long").alias("tp"), (n_p - tp).cast("long").alias("fp"), (n_g - tp).cast("long").alias("fn"))
 
 
+def in_scope(pred: DataFrame, categories: Iterable[str] | None) -> DataFrame:
+    """Predictions of the categories that a corpus labels; all if it labels every one."""
+    return pred if categories is None else pred.filter(F.col("category").isin(*categories))
+
+
 def match_overlap(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """doc_id, category, tp, fp, fn: a prediction that meets a gold span of its category is right, also when others meet
     the same one; a gold span that none meets is missed."""
@@ -66,34 +71,56 @@ def metrics(counts: DataFrame, digits: int | None = None) -> DataFrame:
     return out if digits is None else out.withColumns({c: F.round(c, digits) for c in ("precision", "recall", "f1")})
 
 
+def corpus_stats(corpus: DataFrame) -> DataFrame:
+    """size, positive_examples and negative_examples of record_id, text, spans."""
+    some = F.size("spans") > 0
+    return corpus.agg(F.count("*").alias("size"), F.count_if(some).alias("positive_examples"), F.count_if(~some).alias("negative_examples"))
+
+
+def listing(found: DataFrame) -> DataFrame:
+    """The categories that occur, in order, each once."""
+    return found.select("category").distinct().orderBy("category")
+
+
 def summary(rows: DataFrame, value: str, quantiles=(0.5, 0.95, 0.99)) -> DataFrame:
-    """n, mean and the values at sorted position rint((n - 1) * q). Positions come from a range-partitioned sort: counts
-    by partition are small, and one row for each partition is all that is gathered."""
-    ranged = rows.select(F.col(value).alias("v")).filter("v IS NOT NULL").repartitionByRange("v").sortWithinPartitions("v")
-    part = ranged.withColumn("part", F.spark_partition_id())
-    sizes = part.groupBy("part").agg(F.count("*").alias("size"), F.sum("v").alias("total"))
-    w = W.orderBy("part")  # a row for each partition
-    before = sizes.withColumn("before", F.sum("size").over(w) - F.col("size"))
-    n = sizes.agg(F.sum("size").alias("n"), (F.sum("total") / F.sum("size")).alias("mean"))
-    within = part.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("v")))
-    at = within.join(F.broadcast(before.select("part", "before")), "part").withColumn("rank", F.col("before") + F.col("k") - 1)
+    """n, mean and the values at sorted position rint((n - 1) * q). Equal values are counted first, so that what is sorted
+    and numbered is a row for each different value; a position's value is the one whose running count reaches it. Running
+    counts need the counts of the ranges before: a range-partitioned sort, whose ranges' sums are small."""
+    counts = rows.select(F.col(value).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    cuts = counts.select(F.percentile_approx("v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10_000)).alias("cuts"))
+    ranged = counts.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")  # one row
+    before = ranged.groupBy("part").agg(F.sum("c").alias("size"))
+    before = before.withColumn("before", F.sum("size").over(W.orderBy("part")) - F.col("size"))  # a row for each range
+    within = ranged.withColumn("upto", F.sum("c").over(W.partitionBy("part").orderBy("v")))
+    at = within.join(F.broadcast(before.select("part", "before")), "part").withColumn("upto", F.col("before") + F.col("upto"))
     picks = F.array(*[F.struct(F.lit(q).alias("q"), F.rint((F.col("n") - 1) * F.lit(q)).cast("long").alias("rank")) for q in quantiles])
-    wanted = n.select("n", "mean", F.explode(picks).alias("x")).select("n", "mean", F.col("x.q").alias("q"), F.col("x.rank").alias("rank"))
-    found = at.join(F.broadcast(wanted), "rank")
+    wanted = total.select("n", "mean", F.explode(picks).alias("x")).select("n", "mean", F.col("x.q").alias("q"), F.col("x.rank").alias("rank"))
+    found = at.join(F.broadcast(wanted), (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
     return found.groupBy("n", "mean").agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
+RANGES = 64
+
+# What a capture is searched for.
 SUSPICIOUS = {
-    "rfc1918": r"\b(?:10\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])|192\.168)\.\d{1,3}\.\d{1,3}\b",
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
-    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    "raw_ipv4_rfc1918": (
+        r"\b(?:"
+        r"10\.(?:25[0-5]|2[0-4]\d|1?\d?\d)\.(?:25[0-5]|2[0-4]\d|1?\d?\d)\.(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+        r"|172\.(?:1[6-9]|2\d|3[01])\.(?:25[0-5]|2[0-4]\d|1?\d?\d)\.(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+        r"|192\.168\.(?:25[0-5]|2[0-4]\d|1?\d?\d)\.(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+        r")\b"
+    ),
+    "raw_email": r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
+    "raw_pem_marker": r"-----BEGIN [A-Z ]*PRIVATE KEY[A-Z ]*-----",
+    "raw_aws_access_key": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
 }
+# End of fixed values.
 
 
 def suspicious_counts(text: Column) -> Column:
     """Map of the patterns that occur to how often."""
-    entries = [F.struct(F.lit(k), F.regexp_count(text, F.lit(p))) for k, p in SUSPICIOUS.items()]
+    entries = [F.struct(F.lit(k), F.regexp_count(text, F.lit(f"(?U){p}"))) for k, p in SUSPICIOUS.items()]
     return F.map_filter(F.map_from_entries(F.array(*entries)), lambda k, v: v > 0)
 
 
@@ -117,5 +144,10 @@ def echoes(envelope: Column, original: Column, width: int = 6) -> Column:
 
 
 def redact_header(value: Column) -> Column:
-    """An authorization header with all but its last 4 signs hidden."""
-    return F.when(F.length(value) > 4, F.concat(F.lit("..."), F.right(value, F.lit(4)))).otherwise(F.lit("..."))
+    """A header that carries a credential with all but its last 4 signs hidden; of a shorter one nothing is shown."""
+    return F.concat(F.lit("<redacted last 4: "), F.when(F.length(value) >= 4, F.right(value, F.lit(4))).otherwise("?"), F.lit(">"))
+
+
+def redact_headers(headers: Column, secret: Iterable[str] = ("authorization", "x-api-key")) -> Column:
+    """A map of headers with the credentials among them, whatever the case of their names, hidden."""
+    return F.transform_values(headers, lambda k, v: F.when(F.lower(k).isin(*secret), redact_header(v)).otherwise(v))
