@@ -155,6 +155,35 @@ def test_structured_stream_restores_unordered_chunks(spark, tmp_path):
     assert got == {"a": f"hello {TABLE[TOKEN]} and [x] {TABLE[TOKEN]}", "b": text}
 
 
+def test_structured_stream_restores_event_bytes(spark, tmp_path):
+    event = b'data: {"delta":{"text":"see ' + TOKEN.encode() + b' ok"}}\n\n'
+    data = event + b": note\r\n\r\n" + event[:-1]
+    rows = [("c", "r", k, bytearray(data[i : i + 5]), i + 5 >= len(data), {TOKEN: "it"}) for k, i in enumerate(range(0, len(data), 5))]
+    schema = "conversation_id string, response_id string, seq long, chunk binary, last boolean, tokens map<string,string>"
+    spark.createDataFrame(rows[::-1], schema).write.parquet(f"{tmp_path}/in")
+    stream = R.restore_event_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("events").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = b"".join(bytes(r.text) for r in spark.table("events").orderBy("seq").collect())
+    assert got == data.replace(TOKEN.encode(), b"it")
+
+
+def test_pieces_are_routed_by_kind(spark):
+    event = f'data: {{"delta":{{"text":"{TOKEN}"}}}}\n\n'
+    rows = [("bytes", event, "c"), ("text", event, "c"), ("object", f'{{"a":["{TOKEN}"]}}', "c"), ("object", f'{{"a":"{TOKEN}"}}', None), ("bytes", event, None)]
+    frame = spark.createDataFrame([(k, kind, bytearray(x.encode()), c, {TOKEN: "it"}) for k, (kind, x, c) in enumerate(rows)], "k int, kind string, data binary, conversation string, tokens map<string,string>")
+    out = frame.select("k", R.routed(*map(F.col, ("kind", "data", "conversation", "tokens"))).cast("string").alias("x"))
+    assert {r.k: r.x for r in out.collect()} == {k: x.replace(TOKEN, "it") if c else x for k, (_, x, c) in enumerate(rows)}
+
+
+def test_doctor_says_what_is_missing(tmp_path, capsys):
+    path = tmp_path / "p.yaml"
+    path.write_text(S.dump(P.REGEX_ONLY))
+    assert cli.main(["doctor", "--policy", str(path)]) == 0 and "FAIL" not in capsys.readouterr().out
+    path.write_text("name: x\ndetectors: {regex: {enabled: false}, opf: {enabled: false}, presidio: {enabled: false}}\n")
+    assert cli.main(["doctor", "--policy", str(path)]) == 1 and "no detector" in capsys.readouterr().out
+
+
 def test_reloading_keeps_the_last_good_policy(spark):
     clock, content, seen = [1], ["one"], []
 
