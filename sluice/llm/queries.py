@@ -24,7 +24,7 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    out = pieces.encode_by_table(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_text=False)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

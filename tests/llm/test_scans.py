@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sluice.llm import attribution, decontaminate, line_rules, pieces, queries, secret_scan
+from sluice.llm.common import _stages as stages
 from sluice.llm.common import windows, words
 
 SF = "/root/testdata/sf0.001"
@@ -102,6 +103,22 @@ def test_sentencepiece_edges(spark):
     assert pieces.encode(empty_docs(spark), MODEL).count() == 0
 
 
+@pytest.mark.parametrize("common", [0, 40, 10_000])
+def test_the_corpus_s_table_gives_the_same_ids(spark, common):
+    """Whether words are broadcast or joined; each different word is in the table once."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = edge_docs(spark).select("doc_id", "text").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40))
+    docs = docs.union(spark.createDataFrame([(k, "a copy of one text with rareword7") for k in range(500, 560)], "doc_id long, text string")).repartition(4)
+    rows = pieces.encode_by_table(docs, MODEL, common=common, flush=50).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.ids == lib.encode(r.text or "") + [2] and r.decoded == lib.decode(r.ids)
+    assert pieces.encode_by_table(docs, MODEL, common=common, keep_text=False).columns == ["doc_id", "ids", "decoded"]
+    chunks = spark.read.parquet(f"{stages[-2].path}/chunks")
+    assert chunks.count() == chunks.select("word").distinct().count() > 100
+    assert pieces.encode_by_table(empty_docs(spark), MODEL).count() == 0
+
+
 # ---- op1 ----
 
 
