@@ -176,10 +176,7 @@ def detect_baseline(spark, sf_dir):
     return _rows(docs, detect.detect(F.col("text"), BASELINE, dedupe=False), "doc_id")
 
 
-_WEB = tuple(p for p in PATTERNS if p.name in ("email", "domain", "rfc1918_ipv4"))
-
-
-@query(f"SELECT {_COLUMNS.replace('doc_id', 'page_id')} FROM ({sql_matches('SELECT page_id, html FROM pages', _WEB, 'page_id', 'html')})")
+@query(f"SELECT {_COLUMNS.replace('doc_id', 'page_id')} FROM ({sql_matches('SELECT page_id, html FROM pages', PATTERNS, 'page_id', 'html')})")
 def detect_pages(spark, sf_dir):
     return _rows(read(spark, sf_dir, "pages"), detect.detect(F.col("html"), dedupe=False), "page_id")
 
