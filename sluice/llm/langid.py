@@ -90,6 +90,18 @@ class Rows:
     bucket: np.ndarray
     share: np.ndarray
 
+    @classmethod
+    def of(cls, rows: pa.Table) -> Rows:
+        bucket, share = (np.concatenate([x.flatten().to_numpy() for x in rows[n].chunks]) for n in ("bucket", "share"))
+        size = np.concatenate([x.value_lengths().to_numpy() for x in rows["bucket"].chunks])
+        return cls(np.append(0, np.cumsum(size)), bucket.astype(np.min_scalar_type(int(bucket.max()))), share)
+
+    def taken(self, order: np.ndarray) -> Rows:
+        size = np.diff(self.at)[order]
+        at = np.append(0, np.cumsum(size))
+        place = np.arange(at[-1]) - np.repeat(at[:-1] - self.at[order], size)
+        return Rows(at, self.bucket[place], self.share[place])
+
     def dense(self, some: np.ndarray, buckets: int) -> np.ndarray:
         out = np.zeros((len(some), buckets), np.float32)
         for k, i in enumerate(some):
@@ -151,7 +163,7 @@ def train(docs: DataFrame, train_when: Column, config: Config = Config()) -> Mod
     unit = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     picked = labelled.filter(unit < share[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     aside = F.pmod(F.xxhash64("h", F.lit(c.seed + 1)), F.lit(1 << 30)) / float(1 << 30) < c.holdout
-    buckets = c.buckets
+    buckets, neutral = c.buckets, c.neutral
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in split_batches(batches):
@@ -161,24 +173,23 @@ def train(docs: DataFrame, train_when: Column, config: Config = Config()) -> Mod
                 [
                     *(b.column(n) for n in ("lang", "h", "aside")),
                     pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())),
-                    pa.array([f[u].astype(np.int64) for f, u in zip(found, used, strict=True)], pa.list_(pa.int64())),
+                    pa.array([(f[u] / (f.sum() + neutral)).astype(np.float32) for f, u in zip(found, used, strict=True)], pa.list_(pa.float32())),
                 ],
-                ["lang", "h", "aside", "bucket", "n"],
+                ["lang", "h", "aside", "bucket", "share"],
             )
 
     rows = (
         picked.select(F.col("text").cast("binary").alias("text"), "lang", "h", aside.alias("aside"))
-        .mapInArrow(featurise, "lang string, h long, aside boolean, bucket array<int>, n array<long>")
+        .mapInArrow(featurise, "lang string, h long, aside boolean, bucket array<int>, share array<float>")
         .toArrow()
-        .sort_by([("lang", "ascending"), ("h", "ascending")])  # the same order however tasks end
-        .combine_chunks()
     )
     if not rows.num_rows:
         return Model((), np.zeros((c.buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, c.floor_cap, c.neutral)
-    bucket, n = (rows[x].combine_chunks() for x in ("bucket", "n"))
-    at, n = bucket.offsets.to_numpy() - bucket.offsets[0].as_py(), n.flatten().to_numpy().astype(np.float64)
-    total = np.add.reduceat(n, at[:-1])
-    x = Rows(at, bucket.flatten().to_numpy(), (n / np.repeat(total + c.neutral, np.diff(at))).astype(np.float32))
+    x = Rows.of(rows)
+    sort = np.lexsort((rows["h"].to_numpy(), rows["lang"].to_pylist()))  # the same order however tasks end
+    x = x.taken(sort)
+    rows = rows.select(["lang", "aside"]).take(pa.array(sort))
+    pa.default_memory_pool().release_unused()
     order = {v: i for i, v in enumerate(langs)}
     y = np.array([order[v] for v in rows["lang"].to_pylist()], np.int64)
     return fit(x, y, np.array(rows["aside"].to_pylist(), bool), langs, c)
