@@ -10,7 +10,8 @@ Decoding gathers the surfaces of the ids in one vector operation; ids whose byte
 `encode` keeps that table in each worker. `encode_by_table` makes one of the corpus: every different marked word is counted
 and segmented once and written to the shared folder; its most frequent words, of at most LONGEST signs, are broadcast, and
 the others' ids are joined back by text and position. It gives the same ids, and moves every text and every uncommon word
-through a shuffle for it, so that the worker's table is the shorter way: README.md has the figures of both.
+through a shuffle for it. That took 1089 CPU seconds a GB and disk of 3.4 times the input, beyond the limits of 900 and 1.5,
+where the worker's table takes 444 and none; so the query and the pipeline use `encode`.
 
 Null and empty texts have the end id only and decode to the empty text. Texts of any length are encoded whole.
 Repeated rows are encoded alike; an empty table gives an empty result. Other columns pass through; a column named
