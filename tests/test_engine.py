@@ -94,7 +94,7 @@ def test_many_matches_take_no_square_time(spark):
         r = rewrite.apply(rows.withColumn("detections", detect.detect(F.col("text"))), P.MASK_ALL).select(F.size("detections").alias("n"), "rewritten_text").first()
         took.append(time.time() - began)
         assert r.n == 3 * n and r.rewritten_text == "[EMAIL_REDACTED] [INTERNAL_IP_REDACTED] " * n
-    assert took[1] < 25, took
+    assert took[1] < 15 * took[0], took
 
 
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 1500])
