@@ -60,6 +60,7 @@ class Config:
     together: int = 2_000_000
     flush: int = 300_000
     every: int = 8
+    piece: int = 20_000
     seed: int = 4
 
     def __post_init__(self) -> None:
@@ -92,7 +93,7 @@ def padded(seqs: list[np.ndarray], c: Config) -> Iterator[tuple[np.ndarray, np.n
         longest = len(seqs[order[at]])
         some = order[at : at + max(1, c.cells // min(longest, c.block))]
         n = np.array([len(seqs[i]) for i in some])
-        out = np.zeros((longest, len(some)), np.int64)
+        out = np.zeros((longest, len(some)), np.int32)
         for k, i in enumerate(some):
             out[: n[k], k] = seqs[i]
         yield np.array(some), n, out
@@ -167,7 +168,7 @@ def likelihood(m: Model, seqs: list[np.ndarray], c: Config) -> np.ndarray:
     for some, n, obs in padded(seqs, c):
         start, total = None, np.zeros(len(n))
         for t in range(0, len(obs), c.block):
-            part = obs[t : t + c.block]
+            part = obs[t : t + c.block].astype(np.intp)
             live = lengths_left(n, t, len(part))
             alpha, scales = r.forward(r.given(part), live.tolist(), start)
             for s in scales:
@@ -180,21 +181,23 @@ def likelihood(m: Model, seqs: list[np.ndarray], c: Config) -> np.ndarray:
     return out + np.array([level[s].sum() for s in seqs])
 
 
-def expect(m: Model, seqs: list[np.ndarray], c: Config, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of first states, moves and emissions."""
+def expect(m: Model, seqs: list[np.ndarray], c: Config, kind: type = np.float32, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of first states, moves and emissions. of: the sequences hold places, each with a symbol, and emissions
+    are counted by place."""
     r, k = Recursion(m, c, kind), len(m.first)
-    first, move, emit, least = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(m.emit))), np.finfo(kind).tiny
+    first, move, emit, least = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(m.emit if of is None else of))), np.finfo(kind).tiny
+    given_of = r.given if of is None else lambda part: r.given(of[part])
     for _, n, obs in padded(seqs, c):
         starts, start, cuts = [], None, range(0, len(obs), c.block)
         for t0 in cuts:
             starts.append(start)
             if t0 + c.block < len(obs):
-                part = obs[t0 : t0 + c.block]
-                start = r.forward(r.given(part), lengths_left(n, t0, len(part)).tolist(), start)[0][-1].copy()
+                part = obs[t0 : t0 + c.block].astype(np.intp)
+                start = r.forward(given_of(part), lengths_left(n, t0, len(part)).tolist(), start)[0][-1].copy()
         after = np.ones((len(n), k), kind)
         for t0, start in zip(reversed(cuts), reversed(starts), strict=True):
-            part = obs[t0 : t0 + c.block]
-            live, given = lengths_left(n, t0, len(part)).tolist(), r.given(part)
+            part = obs[t0 : t0 + c.block].astype(np.intp)
+            live, given = lengths_left(n, t0, len(part)).tolist(), given_of(part)
             alpha, _ = r.forward(given, live, start)
             beta, ahead = r.backward(given, live, after)
             if start is not None:
@@ -206,9 +209,10 @@ def expect(m: Model, seqs: list[np.ndarray], c: Config, kind: type = np.float32)
             beta *= alpha  # from here on the states' probabilities
             if start is None:
                 first += beta[0].sum(axis=0)
-            by_state, flat = beta.reshape(-1, k).T.astype(np.float64, order="C"), part.ravel()
-            for s in range(k):
-                emit[s] += np.bincount(flat, weights=by_state[s], minlength=emit.shape[1])
+            flat = part.ravel()
+            for s in range(0, k, 2):
+                for x, own in enumerate(beta.reshape(-1, k)[:, s : s + 2].T.astype(np.float64, order="C")):
+                    emit[s + x] += np.bincount(flat, weights=own, minlength=emit.shape[1])
     return first, move, emit.T
 
 
@@ -267,7 +271,6 @@ class Vocabulary:
         self.rank, self.end, self.head, self.classes = {w: k for k, w in enumerate(words)}, len(words), head, c.classes
         kind = np.array([class_of(w, c.classes) for w in words[head:]], np.int32)
         self.symbol = np.concatenate([np.arange(head), head + kind, [head + c.classes]]).astype(np.int32)
-        self.words = words
 
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[list[bytes]], list[list[int]]]:
         """For each text its tokens, its different uncommon words and their classes."""
@@ -286,6 +289,15 @@ class Vocabulary:
         return seqs, words, kinds
 
 
+@dataclass(frozen=True)
+class Ranks:
+    """What the training needs of the vocabulary: the symbols of the ranks and the end, and the names beyond the head."""
+
+    symbol: np.ndarray
+    head: int
+    names: pa.BinaryArray
+
+
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and row offsets, from 0."""
     offsets = column.offsets.to_numpy()
@@ -315,6 +327,15 @@ def _split(flat: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
+def _dense(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from 0 to n-1 that occur in x, and the place of each of x among them."""
+    place = np.zeros(n, np.int32)
+    place[x] = 1
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    return used, place[x]
+
+
 def _uncommon(tokens: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where uncommon words stand, and the places of these words among all rows' uncommon words. own: their row offsets."""
     at = np.flatnonzero(tokens < 0)
@@ -373,13 +394,14 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
             made = [pa.array(seqs, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.binary())), pa.array(kind, pa.list_(pa.int16()))]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "teach", "held_out")), *made], [x.split()[0] for x in CODED.split(", ")])
 
+    ranks = spark.sparkContext.broadcast(Ranks(known.symbol, head, pa.array(top[head:], pa.binary())))
     coded = stage.write(texts.mapInArrow(encode, CODED).withColumn("row", F.monotonically_increasing_id()), "coded")
 
     model, learned = initial(shares, c), None
     for round_ in range(c.rounds if total else 0):
         last = round_ == c.rounds - 1
         taught = coded.filter("teach").select("seq", "kinds", *(["words"] if last else []))
-        model, learned = _round(taught, model, shares, vocabulary, c, stage if last else None)
+        model, learned = _round(taught, model, shares, ranks, c, stage if last else None)
     unknown = words.select("word", "c", F.lit(0).cast("long").alias("q")).limit(0) if learned is None else learned
     states = range(c.states)
     step = [F.shiftrightunsigned("q", 8 * s).bitwiseAND(F.lit(255)).cast("double") for s in states]
@@ -404,18 +426,25 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
             place = (np.repeat(own[:-1], np.diff(np.append(np.flatnonzero(text), len(k)))) + k)[~text]
             count[place], packed[place] = (t.column(x).to_numpy()[~text] for x in ("c", "q"))
             where, which = _uncommon(tokens, at, own)
-            seqs = tokens.copy()
-            seqs[where] = len(table) + which
             gains = gain[np.where(tokens < 0, 0, tokens)]
             gains[where] = np.log10(count[which] + 1)
+            length = np.diff(at)
+            base = np.add.reduceat(gains, at[:-1]) - base_unit * length
+            del gains
             seen = np.ones(len(tokens), np.int64)
             seen[where] = count[which] > 0
             seen[tokens == end] = ends > 0
-            whole = Model(model.first, model.move, np.concatenate([table, by.emissions(kind, count, packed)]))
-            length = np.diff(at)
-            base = np.add.reduceat(gains, at[:-1]) - base_unit * length
-            p = likelihood(whole, _split(seqs, at), c) if total else base
-            made = [pa.array(length.astype(np.int64)), pa.array(np.add.reduceat(seen, at[:-1])), pa.array(np.full(docs.num_rows, total)), pa.array(base), pa.array(p)]
+            n_known = np.add.reduceat(seen, at[:-1])
+            del seen
+            used, seqs = _dense(np.where(tokens < 0, end, tokens), len(table))
+            seqs[where] = len(used) + which
+            emit = np.empty((len(used) + len(kind), len(model.first)))
+            emit[: len(used)] = table[used]
+            for x in range(0, len(kind), c.piece):
+                some = slice(x, x + c.piece)
+                emit[len(used) :][some] = by.emissions(kind[some], count[some], packed[some])
+            p = likelihood(Model(model.first, model.move, emit), _split(seqs, at), c) if total else base
+            made = [pa.array(length.astype(np.int64)), pa.array(n_known), pa.array(np.full(docs.num_rows, total)), pa.array(base), pa.array(p)]
             yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("held_out"), *made], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rest = unknown.filter(F.floor(F.log2("c") * 64) < level).select("word", "c", "q")
@@ -454,39 +483,46 @@ def _common_emissions(rows: DataFrame, top: list[bytes], head: int, count_of: di
     return np.concatenate([model.emit[:head], by.emissions(kind, count.astype(float), q), model.emit[-1:]])
 
 
-def _round(taught: DataFrame, model: Model, shares: np.ndarray, vocabulary, c: Config, stage: Stage | None) -> tuple[Model, DataFrame | None]:
+def _round(taught: DataFrame, model: Model, shares: np.ndarray, ranks, c: Config, stage: Stage | None) -> tuple[Model, DataFrame | None]:
     """One pass of Baum-Welch. Tasks send (symbol, expected count by state); negative symbols hold the rest. With a stage,
-    they send (word, its count, expected count by state) of the words beyond the head too; their table is written and
-    returned as word, c, q."""
+    they send (word, its count, expected count by state) of the words beyond the head too, of uncommon ones for each group
+    of rows; their table is written and returned as word, c, q."""
     m = taught.sparkSession.sparkContext.broadcast(model)
     k, symbols, by_word = c.states, len(model.emit), stage is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = vocabulary.value, m.value
+        v, model = ranks.value, m.value
         first, move, emit, any_ = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), False
-        own = _Own(k, v)
+        common = _Common(k, v.names, c.piece) if by_word else None
         for b in gather(batches, c.together // (2 if by_word else 1)):
             (tokens, at), (kind, rows) = _lists(b.column("seq")), _lists(b.column("kinds"))
             where, which = _uncommon(tokens, at, rows)
             seqs = v.symbol[np.where(tokens < 0, 0, tokens)]
             seqs[where] = v.head + kind[which]
             if by_word:
-                beyond = np.flatnonzero((seqs >= v.head) & (tokens != v.end))
-                used, place = own.places(tokens[beyond], tokens[beyond] < 0, which, b.column("words"))
-                of = np.zeros(len(used), np.int64)
-                of[place] = seqs[beyond]
-                seqs[beyond] = symbols + place
-                f, a, e = expect(Model(model.first, model.move, np.concatenate([model.emit, model.emit[of]])), _split(seqs, at), c)
-                e, each = e[:symbols].copy(), e[symbols:]
-                np.add.at(e, of, each)
-                own.add(used, np.bincount(place, minlength=len(used)), each)
-                if len(own.ids) > c.flush or own.tokens >= 1 << 23:
-                    yield from own.take()
+                beyond = np.flatnonzero((tokens >= v.head) & (tokens < len(v.symbol) - 1))
+                used, place = _dense(tokens[beyond] - v.head, len(v.names))
+                ids: dict[bytes, int] = {}
+                own = b.column("words").flatten()
+                id_ = np.fromiter((ids.setdefault(w, len(ids)) for x in range(0, len(own), c.piece) for w in own[x : x + c.piece].to_pylist()), np.int32, len(own))[which]
+                mid = symbols + len(used)
+                of = np.arange(mid + len(ids), dtype=np.int32)
+                of[symbols + place], of[mid + id_] = seqs[beyond], seqs[where]
+                seqs[beyond], seqs[where] = symbols + place, mid + id_
+                f, a, e = expect(model, _split(seqs, at), c, of=of)
+                common.add(used, np.bincount(place, minlength=len(used)), e[symbols:mid])
+                yield from _sent_words(list(ids), np.bincount(id_, minlength=len(ids)), e[mid:], c.piece)
+                for s in range(k):
+                    emit[:, s] += np.bincount(of, weights=e[:, s], minlength=symbols)
+                if common.tokens >= 1 << 23:
+                    yield from common.take()
             else:
                 f, a, e = expect(model, _split(seqs, at), c)
-            first, move, emit, any_ = first + f, move + a, emit + e, True
+                emit += e
+            first, move, any_ = first + f, move + a, True
         if any_:
-            yield from own.take()
+            if by_word:
+                yield from common.take()
             used = np.flatnonzero(emit.any(axis=1))
             rows = np.concatenate([first[None], move, emit[used]])
             yield _sent(np.concatenate([-1 - np.arange(k + 1), used]), None, rows)
@@ -523,41 +559,29 @@ def _sent(symbol: np.ndarray | None, word: list[bytes] | None, rows: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(none if symbol is None else symbol, pa.int64()), pa.array(none if word is None else word, pa.binary()), v], ["symbol", "word", "v"])
 
 
-class _Own:
-    """A task's counts and expected counts of the words beyond the head."""
+def _sent_words(words: list[bytes], count: np.ndarray, expected: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
+    for x in range(0, len(words), piece):
+        yield _sent(None, words[x : x + piece], np.column_stack([count[x : x + piece], expected[x : x + piece]]))
 
-    def __init__(self, states: int, v: Vocabulary) -> None:
-        self.states, self.v = states, v
-        self.clear()
 
-    def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.rank_ids = np.full(len(self.v.words) + 1, -1, np.int32)
-        self.sums, self.tokens = np.zeros((0, self.states + 1)), 0
+class _Common:
+    """A task's counts and expected counts of the common words beyond the head, by rank."""
 
-    def places(self, tokens: np.ndarray, uncommon: np.ndarray, which: np.ndarray, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids that occur, each once, and for each token the place of its id among them."""
-        ids, get = np.empty(len(tokens), np.int32), self.ids
-        of = np.array([get.setdefault(w, len(get)) for x in words.to_pylist() for w in x], np.int32)
-        ids[uncommon] = of[which]
-        ranks = np.unique(tokens[~uncommon])
-        for r in ranks[self.rank_ids[ranks] < 0].tolist():
-            self.rank_ids[r] = get.setdefault(self.v.words[r], len(get))
-        ids[~uncommon] = self.rank_ids[tokens[~uncommon]]
-        return np.unique(ids, return_inverse=True)
+    def __init__(self, states: int, names: pa.BinaryArray, piece: int) -> None:
+        self.names, self.piece, self.tokens = names, piece, 0
+        self.count, self.sums = np.zeros(len(names), np.int64), np.zeros((len(names), states))
 
     def add(self, used: np.ndarray, count: np.ndarray, expected: np.ndarray) -> None:
-        if len(self.sums) < len(self.ids):
-            self.sums = np.concatenate([self.sums, np.zeros((len(self.ids) - len(self.sums), self.states + 1))])
         self.tokens += int(count.sum())
-        self.sums[used, 0] += count
-        self.sums[used, 1:] += expected
+        self.count[used] += count
+        self.sums[used] += expected
 
     def take(self) -> Iterator[pa.RecordBatch]:
-        words = list(self.ids)
-        for x in range(0, len(words), 20_000):
-            yield _sent(None, words[x : x + 20_000], self.sums[x : x + 20_000])
-        self.clear()
+        used = np.flatnonzero(self.count)
+        for x in range(0, len(used), self.piece):
+            some = used[x : x + self.piece]
+            yield from _sent_words(self.names.take(pa.array(some)).to_pylist(), self.count[some], self.sums[some], self.piece)
+        self.tokens, self.count[:], self.sums[:] = 0, 0, 0
 
 
 def _summed(states: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

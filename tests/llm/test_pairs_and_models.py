@@ -5,10 +5,13 @@ from __future__ import annotations
 import itertools
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,6 +346,45 @@ def test_scores_equal_plain_recursions(spark, common):
         assert got[i].score == pytest.approx(want, rel=1e-4)
 
 
+class Task:
+    """Stands for the DataFrame and the session of a pass; keeps what a task runs."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+    broadcast = staticmethod(lambda x: SimpleNamespace(value=x))
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        raise StopIteration
+
+
+def last_pass(groups: int) -> tuple[int, int]:
+    """Rows that a task of the last pass sends, and the most bytes that it holds beside its input."""
+    c, task = hmm.Config(states=8, head=2, classes=16, cells=2000, together=8000), Task()
+    v = hmm.Vocabulary([b"a", b"b", b"c"], c, 2)
+    m = hmm.initial(np.full(19, 1 / 19), c)
+    with pytest.raises(StopIteration):
+        hmm._round(task, m, None, task.broadcast(hmm.Ranks(v.symbol, 2, pa.array([b"c"], pa.binary()))), c, object())
+
+    def batches():
+        for g in range(groups):
+            seqs, own, kinds = v.encode([b"a b c " + b" ".join(b"w%dx%d" % (g, k) for k in range(d, d + 96)) for d in range(0, 4000, 100)])
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int16())), pa.array(own, pa.list_(pa.binary()))], ["seq", "kinds", "words"])
+
+    tracemalloc.start()
+    rows = sum(b.num_rows - b.column("word").null_count for b in task.run(batches()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return rows, most
+
+
+def test_the_last_pass_holds_one_group_of_rows():
+    """A task that meets ever new words holds no more for more rows, and sends each word and its count."""
+    last_pass(1)
+    (rows, few), (more_rows, many) = last_pass(3), last_pass(24)
+    assert (rows, more_rows) == (3 * 40 * 96 + 1, 24 * 40 * 96 + 1)
+    assert many < 1.25 * few
+
+
 def test_emissions_are_distributions():
     """The words of a class and one unseen word have probability 1 together in every state."""
     rng = np.random.default_rng(4)
