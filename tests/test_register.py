@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sluice.functions.register import register
+from sluice.functions.register import Scanner, register
 from sluice.operators import detect, rewrite
 from sluice.plans import policy as P
 from tests.test_engine import POSITIVE
@@ -26,3 +26,9 @@ def test_sql_functions_equal_columns(spark):
     masked = {r.k: r.rewritten_text for r in rewrite.apply(detect.settle(rows, detections=detect.detect(F.col("text"))), P.MASK_ALL).collect()}
     assert {r.k: r.m for r in spark.sql("SELECT k, pii_mask(text) AS m FROM sql_texts").collect()} == masked
     assert spark.sql("SELECT pii_normalize('a&#64;b.co') AS n").first().n == "a@b.co"
+
+
+def test_anchors_heed_case_as_their_pattern_does():
+    for name, text in POSITIVE.items():
+        assert f"regex:{name}" in {d[5] for d in Scanner().detect(text)}, name
+    assert [d[5] for d in Scanner().detect(POSITIVE["aws_secret_access_key"].swapcase())] == ["regex:aws_secret_access_key"]
