@@ -529,7 +529,7 @@ def _round(taught: DataFrame, model: Model, shares: np.ndarray, ranks, c: Config
 
     sent = taught.mapInArrow(run, SENT)
     if by_word:
-        sums = sent.repartition("symbol", "word").sortWithinPartitions("symbol", "word").mapInArrow(_summed(k), "symbol long, word binary, c long, q long, v binary")
+        sums = sent.repartition("symbol", "word").sortWithinPartitions("word", "symbol").mapInArrow(_summed(k), "symbol long, word binary, c long, q long, v binary")
         sums = stage.write(sums, "learned")
     else:
         sums = sent
@@ -585,8 +585,9 @@ class _Common:
 
 
 def _summed(states: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums of rows that are sorted by symbol and word: symbols with v, words with c and q. One key's sum is held, whatever
-    the number of its rows."""
+    """Sums of rows that are sorted by word and symbol: symbols with v, words with c and q. One key's sum is held, whatever
+    the number of its rows. The word comes first because Spark's sort compares the first column's first 8 bytes before it
+    looks at the rows themselves, and nearly all rows are words'."""
 
     def out(symbol, word, rows: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(rows), pa.int64())
@@ -600,7 +601,7 @@ def _summed(states: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         held: tuple | None = None  # key column of one row, sums, whether it is a word
         for b in batches:
             words = b.column("symbol").is_null().to_numpy(zero_copy_only=False)
-            for is_word in (True, False):  # nulls come first
+            for is_word in (False, True):  # nulls come first
                 part = b.filter(pa.array(words == is_word))
                 if not part.num_rows:
                     continue

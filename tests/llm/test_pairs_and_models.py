@@ -385,6 +385,16 @@ def test_the_last_pass_holds_one_group_of_rows():
     assert many < 1.25 * few
 
 
+def test_sums_take_rows_by_word_then_symbol():
+    """Symbols' rows come before words'; a key's rows may lie in several batches, and one batch may hold both kinds."""
+    of = lambda symbols, words, rows: hmm._sent(symbols, words, np.array(rows, float))
+    two = [of([3, 5], None, [[1, 2], [3, 4]]), of([5], None, [[10, 20]]), of(None, [b"a"], [[2, 1, 1]]), of(None, [b"a", b"b"], [[4, 3, 1], [1, 1, 0]])]
+    mixed = pa.Table.from_batches(two[1:3]).combine_chunks().to_batches()
+    out = pa.Table.from_batches(hmm._summed(2)(iter([two[0], *mixed, two[3]]))).to_pylist()
+    assert [(r["symbol"], r["word"], r["c"]) for r in out] == [(3, None, None), (5, None, None), (None, b"a", 6), (None, b"b", 1)]
+    assert np.frombuffer(out[1]["v"]).tolist() == [13, 24]
+
+
 def test_emissions_are_distributions():
     """The words of a class and one unseen word have probability 1 together in every state."""
     rng = np.random.default_rng(4)
