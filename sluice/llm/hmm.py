@@ -31,17 +31,16 @@ An empty table gives an empty result. Other columns are not returned.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, doc_bytes, split_batches
+from .common import Stage, split_batches
 
 LEVELS = 248
 """Steps of a word's distribution over states: one byte for each of at most 8 states."""
@@ -80,10 +79,45 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def all_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of each of the texts as `words_of` gives them, and row offsets. A null text has none."""
+    raw = texts.cast(pa.binary())
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pa.Array.from_buffers(pa.string(), len(raw), raw.buffers(), offset=raw.offset)))
+    words, at = cut.flatten(), cut.offsets.to_numpy()
+    words, at = pa.Array.from_buffers(pa.binary(), len(words), words.buffers(), offset=words.offset), at - at[0]
+    full = pc.binary_length(words).to_numpy() > 0  # white space at a text's edge leaves an empty word
+    if not full.all():
+        words, at = words.filter(pa.array(full)), np.append(0, np.cumsum(full))[at]
+    return words, at
+
+
+def counted(texts: pa.Array) -> pa.Table:
+    """How often each word occurs; b"" stands for the ends."""
+    found = pc.value_counts(all_words(texts)[0])
+    return pa.table({"word": pa.concat_arrays([found.field("values"), pa.array([b""], pa.binary())]), "n": pa.concat_arrays([found.field("counts"), pa.array([len(texts)], pa.int64())])})
+
+
 def class_of(word: bytes, classes: int) -> int:
     return zlib.crc32(word[-3:]) % classes
 
 
+_STEP = np.array([zlib.crc32(bytes([b ^ 0xFF])) ^ 0xFF000000 for b in range(256)], np.uint32)
+"""The table of crc32: of a byte alone, without what the function does before and after."""
+
+
+def classes_of(words: pa.Array, classes: int) -> np.ndarray:
+    """`class_of` each of the words."""
+    if not len(words):
+        return np.zeros(0, np.int16)
+    _, at, data = words.buffers()
+    at, data = np.frombuffer(at, np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(data or b"", np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1):
+        on = np.flatnonzero(np.diff(at) >= k)
+        crc[on] = _STEP[(crc[on] ^ data[at[1:][on] - k]) & 0xFF] ^ (crc[on] >> 8)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % classes).astype(np.int16)
+
+
 def padded(seqs: list[np.ndarray], c: Config) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences of near-equal length together: their indices, lengths (descending), symbols (time x sequence). A block
     of times of one group has at most `cells` symbols, or one sequence's."""
@@ -261,32 +295,38 @@ def _class(word: Column, classes: int) -> Column:
     return (F.crc32(F.when(F.length(raw) > 3, F.substring(raw, -3, 3)).otherwise(raw)) % classes).cast("int")
 
 
-CODED = "doc_id long, teach boolean, held_out boolean, seq array<int>, words array<binary>, kinds array<short>"
+CODED = "doc_id long, teach boolean, held_out boolean, seq binary, words array<binary>, kinds binary"
+"""seq and kinds: the bytes of 4- and 2-byte integers, which Spark passes on whole; an array's elements it takes one by one."""
 
 
 class Vocabulary:
     """The common words. A text's tokens are their ranks, then `end`, or -1 - k for the k-th of its other words."""
 
     def __init__(self, words: list[bytes], c: Config, head: int) -> None:
-        self.rank, self.end, self.head, self.classes = {w: k for k, w in enumerate(words)}, len(words), head, c.classes
-        kind = np.array([class_of(w, c.classes) for w in words[head:]], np.int32)
+        self.words, self.end, self.head, self.classes = pa.array(words, pa.binary()), len(words), head, c.classes
+        kind = classes_of(self.words[head:], c.classes).astype(np.int32)
         self.symbol = np.concatenate([np.arange(head), head + kind, [head + c.classes]]).astype(np.int32)
 
-    def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[list[bytes]], list[list[int]]]:
-        """For each text its tokens, its different uncommon words and their classes."""
-        cut = [words_of(t) for t in texts]
-        ends = np.cumsum([len(x) for x in cut])
-        ranks = np.fromiter(map(self.rank.get, chain.from_iterable(cut), repeat(-1)), np.int32, int(ends[-1]))
-        seqs, words, kinds = [], [], []
-        for own, at, end in zip(cut, [0, *ends.tolist()], ends.tolist(), strict=False):
-            seq, seen = np.empty(end - at + 1, np.int32), {}
-            seq[:-1], seq[-1] = ranks[at:end], self.end
-            for k in np.flatnonzero(ranks[at:end] < 0).tolist():
-                seq[k] = -1 - seen.setdefault(own[k], len(seen))
-            seqs.append(seq)
-            words.append(list(seen))
-            kinds.append([class_of(w, self.classes) for w in seen])
-        return seqs, words, kinds
+    def encode(self, texts: pa.Array | list[bytes]) -> tuple[pa.ListArray, pa.ListArray, pa.ListArray]:
+        """For each text its tokens, its different uncommon words and their classes. Each different word is looked up once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        cut, at = all_words(texts)
+        coded, n = cut.dictionary_encode(), len(texts)
+        names, id_ = coded.dictionary, coded.indices.to_numpy()
+        tokens = pc.index_in(names, value_set=self.words).fill_null(-1).to_numpy()[id_]
+        where = np.flatnonzero(tokens < 0)
+        row = np.searchsorted(at, where, side="right") - 1
+        pairs, place = np.unique(row * max(1, len(names)) + id_[where], return_inverse=True)  # of a text and a word
+        of, word = np.divmod(pairs, max(1, len(names)))
+        own = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+        tokens[where] = own[row] - 1 - place
+        seq, ends = np.full(len(tokens) + n, self.end, np.int32), at + np.arange(n + 1)
+        inner = np.ones(len(seq), bool)
+        inner[ends[1:] - 1] = False
+        seq[inner] = tokens
+        words = names.take(pa.array(word))
+        lists = [(ends, pa.array(seq)), (own, words), (own, pa.array(classes_of(words, self.classes)))]
+        return tuple(pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), x) for o, x in lists)
 
 
 @dataclass(frozen=True)
@@ -298,17 +338,28 @@ class Ranks:
     names: pa.BinaryArray
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values and row offsets, from 0."""
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+def _lists(column: pa.Array, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row offsets, from 0, of lists or of the bytes of numbers."""
+    if not pa.types.is_binary(column.type):
+        offsets = column.offsets.to_numpy()
+        return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    _, at, data = column.buffers()
+    offsets = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    values = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind)
+    return values, (offsets - offsets[0]) // values.itemsize
+
+
+def _bytes(lists: pa.ListArray) -> pa.Array:
+    """Lists of numbers as the bytes of these."""
+    values, offsets = _lists(lists)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets * np.int32(values.itemsize)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, together of up to `most` tokens or one row: long sequences then share their steps."""
     some, room = [], most
     for b in batches:
-        at, offsets = 0, b.column("seq").offsets.to_numpy()
+        at, (_, offsets) = 0, _lists(b.column("seq"))
         while at < b.num_rows:
             end = int(np.searchsorted(offsets, offsets[at] + room, side="right")) - 1
             end = max(end, at + (not some))
@@ -350,15 +401,18 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
     texts = docs.select("doc_id", train_when.alias("teach"), held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for b in split_batches(batches):
-            for t in doc_bytes(b.column("text")):
-                seen.update(words_of(t))
-                seen[b""] += 1  # the end
-            if len(seen) > c.flush:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        some, rows = [], 0
+        for b in split_batches(batches, 1 << 14):
+            some.append(counted(b.column("text")))
+            rows += some[-1].num_rows
+            if rows > c.flush:
+                some = [pa.concat_tables(some).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+                rows = some[0].num_rows
+            if rows > c.flush:
+                yield from some.pop().to_batches()
+                rows = 0
+        for t in some:
+            yield from t.to_batches()
 
     counts = texts.filter("teach").select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts = stage.write(counts, "counts")
@@ -389,10 +443,9 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
     vocabulary = spark.sparkContext.broadcast(known)  # `common` + `head` words at most
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in split_batches(batches):
-            seqs, own, kind = vocabulary.value.encode(doc_bytes(b.column("text")))
-            made = [pa.array(seqs, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.binary())), pa.array(kind, pa.list_(pa.int16()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "teach", "held_out")), *made], [x.split()[0] for x in CODED.split(", ")])
+        for b in split_batches(batches, 1 << 14):
+            seqs, own, kind = vocabulary.value.encode(b.column("text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "teach", "held_out")), _bytes(seqs), own, _bytes(kind)], [x.split()[0] for x in CODED.split(", ")])
 
     ranks = spark.sparkContext.broadcast(Ranks(known.symbol, head, pa.array(top[head:], pa.binary())))
     coded = stage.write(texts.mapInArrow(encode, CODED).withColumn("row", F.monotonically_increasing_id()), "coded")
@@ -421,7 +474,7 @@ def score(docs: DataFrame, train_when: Column, held_out: Column, config: Config
             k = t.column("k").to_numpy()
             text = k < 0
             docs = t.filter(pa.array(text)).combine_chunks().to_batches()[0]
-            (tokens, at), (kind, own) = _lists(docs.column("seq")), _lists(docs.column("kinds"))
+            (tokens, at), (kind, own) = _lists(docs.column("seq")), _lists(docs.column("kinds"), np.int16)
             count, packed = np.zeros(len(kind)), np.zeros(len(kind), np.int64)
             place = (np.repeat(own[:-1], np.diff(np.append(np.flatnonzero(text), len(k)))) + k)[~text]
             count[place], packed[place] = (t.column(x).to_numpy()[~text] for x in ("c", "q"))
@@ -461,15 +514,14 @@ def _documents(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Tabl
     some, size = [], 0
     for b in batches:
         some.append(b)
-        offsets = b.column("seq").offsets.to_numpy()
-        size += int(offsets[-1] - offsets[0])
+        size += len(_lists(b.column("seq"))[0])
         if size >= most:
             t = pa.Table.from_batches(some)
             last = int(np.flatnonzero(t.column("k").to_numpy() < 0)[-1])  # its words may go on in the next batch
             if last:
                 yield t.slice(0, last)
             some = t.slice(last).combine_chunks().to_batches()
-            size = len(some[0].column("seq")[0])
+            size = len(_lists(some[0].column("seq").slice(0, 1))[0])
     if some and (t := pa.Table.from_batches(some)).num_rows:
         yield t
 
@@ -495,23 +547,22 @@ def _round(taught: DataFrame, model: Model, shares: np.ndarray, ranks, c: Config
         first, move, emit, any_ = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), False
         common = _Common(k, v.names, c.piece) if by_word else None
         for b in gather(batches, c.together // (2 if by_word else 1)):
-            (tokens, at), (kind, rows) = _lists(b.column("seq")), _lists(b.column("kinds"))
+            (tokens, at), (kind, rows) = _lists(b.column("seq")), _lists(b.column("kinds"), np.int16)
             where, which = _uncommon(tokens, at, rows)
             seqs = v.symbol[np.where(tokens < 0, 0, tokens)]
             seqs[where] = v.head + kind[which]
             if by_word:
                 beyond = np.flatnonzero((tokens >= v.head) & (tokens < len(v.symbol) - 1))
                 used, place = _dense(tokens[beyond] - v.head, len(v.names))
-                ids: dict[bytes, int] = {}
-                own = b.column("words").flatten()
-                id_ = np.fromiter((ids.setdefault(w, len(ids)) for x in range(0, len(own), c.piece) for w in own[x : x + c.piece].to_pylist()), np.int32, len(own))[which]
+                own = b.column("words").flatten().dictionary_encode()
+                ids, id_ = own.dictionary, own.indices.to_numpy()[which]
                 mid = symbols + len(used)
                 of = np.arange(mid + len(ids), dtype=np.int32)
                 of[symbols + place], of[mid + id_] = seqs[beyond], seqs[where]
                 seqs[beyond], seqs[where] = symbols + place, mid + id_
                 f, a, e = expect(model, _split(seqs, at), c, of=of)
                 common.add(used, np.bincount(place, minlength=len(used)), e[symbols:mid])
-                yield from _sent_words(list(ids), np.bincount(id_, minlength=len(ids)), e[mid:], c.piece)
+                yield from _sent_words(ids, np.bincount(id_, minlength=len(ids)), e[mid:], c.piece)
                 for s in range(k):
                     emit[:, s] += np.bincount(of, weights=e[:, s], minlength=symbols)
                 if common.tokens >= 1 << 23:
@@ -551,15 +602,15 @@ SENT = "symbol long, word binary, v binary"
 precision, in which a task's counts, of fewer than 2**24 tokens of a word, are exact."""
 
 
-def _sent(symbol: np.ndarray | None, word: list[bytes] | None, rows: np.ndarray) -> pa.RecordBatch:
+def _sent(symbol: np.ndarray | None, word: pa.Array | list[bytes] | None, rows: np.ndarray) -> pa.RecordBatch:
     rows = np.ascontiguousarray(rows, np.float64 if word is None else np.float32)
     size = rows.shape[1] * rows.itemsize
     v = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, size * (len(rows) + 1), size, dtype=np.int32)), pa.py_buffer(rows)])
-    none = [None] * len(rows)
-    return pa.RecordBatch.from_arrays([pa.array(none if symbol is None else symbol, pa.int64()), pa.array(none if word is None else word, pa.binary()), v], ["symbol", "word", "v"])
+    columns = [pa.nulls(len(rows), kind) if x is None else pa.array(x, kind) for x, kind in ((symbol, pa.int64()), (word, pa.binary()))]
+    return pa.RecordBatch.from_arrays([*columns, v], ["symbol", "word", "v"])
 
 
-def _sent_words(words: list[bytes], count: np.ndarray, expected: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
+def _sent_words(words: pa.Array, count: np.ndarray, expected: np.ndarray, piece: int) -> Iterator[pa.RecordBatch]:
     for x in range(0, len(words), piece):
         yield _sent(None, words[x : x + piece], np.column_stack([count[x : x + piece], expected[x : x + piece]]))
 
@@ -580,7 +631,7 @@ class _Common:
         used = np.flatnonzero(self.count)
         for x in range(0, len(used), self.piece):
             some = used[x : x + self.piece]
-            yield from _sent_words(self.names.take(pa.array(some)).to_pylist(), self.count[some], self.sums[some], self.piece)
+            yield from _sent_words(self.names.take(pa.array(some)), self.count[some], self.sums[some], self.piece)
         self.tokens, self.count[:], self.sums[:] = 0, 0, 0
 
 

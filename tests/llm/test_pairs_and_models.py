@@ -395,6 +395,28 @@ def test_sums_take_rows_by_word_then_symbol():
     assert np.frombuffer(out[1]["v"]).tolist() == [13, 24]
 
 
+def test_words_are_cut_counted_and_coded_by_column():
+    """Whole columns at once give what `words_of` and `class_of` give for one text; numbers go to Spark as bytes."""
+    rng = random.Random(5)
+    texts = [b"", None, b" \n", b"A b a\x0bB ", b"\xff\xfe \xc3\x89X\xc2\xa0y \x1cz\x85", b"q qq qqq qqqq qqqqq q qqq"]
+    texts += [bytes(rng.choices(b"aB \t\n\x0b\x0c\r\x1c\x00\xe9z", k=rng.randrange(30))) for _ in range(300)]
+    cut = [hmm.words_of(t or b"") for t in texts]
+    seen = Counter(w for x in cut for w in x)
+    column = pa.array([b"left out", *texts], pa.binary()).slice(1)
+    n = hmm.counted(column)
+    assert dict(zip(n["word"].to_pylist(), n["n"].to_pylist(), strict=True)) == seen | {b"": len(texts)}
+    c = hmm.Config(head=2)
+    for top in ([], [w for w, _ in seen.most_common(5)]):
+        seqs, words, kinds = hmm.Vocabulary(top, c, min(2, len(top))).encode(column)
+        tokens, at = hmm._lists(hmm._bytes(seqs).slice(3))
+        assert tokens.tolist() == [x for t in seqs.to_pylist()[3:] for x in t] and len(at) == len(texts) - 2
+        for x, seq, own, kind in zip(cut, seqs.to_pylist(), words.to_pylist(), kinds.to_pylist(), strict=True):
+            assert [own[-1 - k] if k < 0 else [*top, b"end"][k] for k in seq] == [*x, b"end"]
+            assert len(set(own)) == len(own) and not {*own} & {*top} and kind == [hmm.class_of(w, c.classes) for w in own]
+    assert "seq binary" in hmm.CODED and "kinds binary" in hmm.CODED
+    assert [len(x) for x in hmm.Vocabulary([], c, 0).encode([])] == [0, 0, 0]
+
+
 def test_emissions_are_distributions():
     """The words of a class and one unseen word have probability 1 together in every state."""
     rng = np.random.default_rng(4)
