@@ -139,6 +139,12 @@ def lengths_left(n: np.ndarray, t0: int, times: int) -> np.ndarray:
     return np.searchsorted(-n, -(t0 + np.arange(times)), side="left")
 
 
+def cut_out(obs: np.ndarray, n: np.ndarray, t0: int, block: int) -> tuple[np.ndarray, list[int]]:
+    """A block of times from t0 of the sequences that reach t0, and how many reach each time."""
+    live = lengths_left(n, t0, min(block, len(obs) - t0)).tolist()
+    return obs[t0 : t0 + block, : live[0]].astype(np.intp), live
+
+
 class Recursion:
     """Forward and backward variables of blocks of times (time x sequence x state) in buffers that all blocks share.
     Emissions are divided by their mean over the states, which keeps products of `every` of them in range; variables are
@@ -202,9 +208,8 @@ def likelihood(m: Model, seqs: list[np.ndarray], c: Config) -> np.ndarray:
     for some, n, obs in padded(seqs, c):
         start, total = None, np.zeros(len(n))
         for t in range(0, len(obs), c.block):
-            part = obs[t : t + c.block].astype(np.intp)
-            live = lengths_left(n, t, len(part))
-            alpha, scales = r.forward(r.given(part), live.tolist(), start)
+            part, live = cut_out(obs, n, t, c.block)
+            alpha, scales = r.forward(r.given(part), live, start)
             for s in scales:
                 total[: len(s)] += np.log10(s)
             ends = alpha.sum(axis=2)  # what the last scaling left, at a sequence's last time
@@ -226,12 +231,12 @@ def expect(m: Model, seqs: list[np.ndarray], c: Config, kind: type = np.float32,
         for t0 in cuts:
             starts.append(start)
             if t0 + c.block < len(obs):
-                part = obs[t0 : t0 + c.block].astype(np.intp)
-                start = r.forward(given_of(part), lengths_left(n, t0, len(part)).tolist(), start)[0][-1].copy()
+                part, live = cut_out(obs, n, t0, c.block)
+                start = r.forward(given_of(part), live, start)[0][-1].copy()
         after = np.ones((len(n), k), kind)
         for t0, start in zip(reversed(cuts), reversed(starts), strict=True):
-            part = obs[t0 : t0 + c.block].astype(np.intp)
-            live, given = lengths_left(n, t0, len(part)).tolist(), given_of(part)
+            part, live = cut_out(obs, n, t0, c.block)
+            given = given_of(part)
             alpha, _ = r.forward(given, live, start)
             beta, ahead = r.backward(given, live, after)
             if start is not None:

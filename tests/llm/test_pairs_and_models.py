@@ -263,6 +263,19 @@ def test_recursions_are_exact_in_blocks(block, cells, every):
         assert np.allclose(first, want_first, near) and np.allclose(move, want_move, near) and np.allclose(emit, want_emit, near)
 
 
+def test_blocks_hold_the_sequences_that_reach_them(monkeypatch):
+    """One long sequence beside many short ones: the blocks beyond these hold the long one alone."""
+    c, sizes, given = hmm.Config(states=3, block=4, cells=100), [], hmm.Recursion.given
+    m, rng = small_model(c, 6), np.random.default_rng(2)
+    seqs = [rng.integers(0, 6, n).astype(np.int32) for n in (40, *[4] * 9, 1)]
+    monkeypatch.setattr(hmm.Recursion, "given", lambda self, part: sizes.append(part.shape) or given(self, part))
+    assert np.allclose(hmm.likelihood(m, seqs, c), [plain_likelihood(m, s) for s in seqs])
+    assert sizes == [(4, 11)] + [(4, 1)] * 9
+    sizes.clear()
+    assert hmm.expect(m, seqs, c)[2].sum() == pytest.approx(sum(map(len, seqs)))
+    assert sizes == [(4, 11)] + [(4, 1)] * 8 + [(4, 1)] * 9 + [(4, 11)]
+
+
 def test_training_raises_likelihood():
     c = hmm.Config(states=2, smooth=0.0)
     rng = np.random.default_rng(2)
